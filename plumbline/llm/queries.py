@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, packing
+from . import lengths, packing, simhash
 from .common import table
 
 
@@ -14,12 +14,16 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_vector_packing, op6_length_histogram)}
+    return {f.__name__: f for f in (op2_vector_packing, op3_simhash_near_duplicates, op6_length_histogram)}
 
 
 def oracle_sql() -> dict[str, str]:
