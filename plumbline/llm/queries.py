@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, lengths, packing, simhash, warc
+from . import html, lengths, packing, secrets, simhash, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents")))
 
 
+def op7_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op8_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -31,7 +35,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_vector_packing, op3_simhash_near_duplicates, op6_length_histogram, op8_html_tree_scoring, op10_warc_bundles)}
+    return {f.__name__: f for f in (op2_vector_packing, op3_simhash_near_duplicates, op6_length_histogram, op7_secret_randomness, op8_html_tree_scoring, op10_warc_bundles)}
 
 
 def oracle_sql() -> dict[str, str]:
