@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, lengths, packing, secrets, simhash, warc
+from . import html, lengths, packing, pii, secrets, simhash, warc
 from .common import table
 
 
@@ -30,12 +30,16 @@ def op8_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_pii_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages")), payloads=False))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_vector_packing, op3_simhash_near_duplicates, op6_length_histogram, op7_secret_randomness, op8_html_tree_scoring, op10_warc_bundles)}
+    return {f.__name__: f for f in (op2_vector_packing, op3_simhash_near_duplicates, op6_length_histogram, op7_secret_randomness, op8_html_tree_scoring, op9_pii_boosted_trees, op10_warc_bundles)}
 
 
 def oracle_sql() -> dict[str, str]:
