@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, lengths, packing, pii, secrets, simhash, warc
+from . import html, lengths, packing, pii, secrets, simhash, warc, winnow
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digest(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents")))
 
@@ -39,7 +43,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_vector_packing, op3_simhash_near_duplicates, op6_length_histogram, op7_secret_randomness, op8_html_tree_scoring, op9_pii_boosted_trees, op10_warc_bundles)}
+    return {f.__name__: f for f in (op2_vector_packing, op3_simhash_near_duplicates, op5_winnowing, op6_length_histogram, op7_secret_randomness, op8_html_tree_scoring, op9_pii_boosted_trees, op10_warc_bundles)}
 
 
 def oracle_sql() -> dict[str, str]:
