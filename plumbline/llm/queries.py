@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, lengths, packing, pii, secrets, simhash, warc, winnow
+from . import html, lengths, packing, pii, preference, quality, secrets, simhash, warc, winnow
 from .common import table
 
 
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
@@ -18,6 +22,10 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_preferences(preference.pair_neighbours(table(spark, sf_dir, "conversations")))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -43,8 +51,8 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_vector_packing, op3_simhash_near_duplicates, op5_winnowing, op6_length_histogram, op7_secret_randomness, op8_html_tree_scoring, op9_pii_boosted_trees, op10_warc_bundles)}
+    return {f.__name__: f for f in (op1_distribution_divergence, op2_vector_packing, op3_simhash_near_duplicates, op4_preference_pairs, op5_winnowing, op6_length_histogram, op7_secret_randomness, op8_html_tree_scoring, op9_pii_boosted_trees, op10_warc_bundles)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preference_pairs": preference.SQL}
