@@ -1,0 +1,48 @@
+import corpus_pipeline
+from plumbline.llm import queries, quality, secrets
+from plumbline.llm.tokens import Encoder
+
+from . import brute
+from .test_packing import check
+from .test_simhash import brute_components, brute_fingerprint
+from .test_text_rules import brute_kept
+from .test_winnow import brute as brute_contamination
+
+
+def test_stages_equal_a_brute_force_pipeline(spark, sf):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    good = {i for i, r in docs.items() if brute_kept(r.text, r.lang)}
+    roots = brute_components({i: brute_fingerprint(docs[i].text) for i in good})
+    single = {i for i in good if roots[i] == i}
+    clean = {i for i in single if not brute_contamination(docs[i].text, items)[4]}
+    assert len(docs) > len(good) > len(single) >= len(clean) > 0
+    found = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = found.columns
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:3], (good, single, clean), strict=True):
+        found = stage(spark, found, sf)
+        assert found.columns == columns and sorted(r.doc_id for r in found.select("doc_id").collect()) == sorted(want)
+    redacted = corpus_pipeline.STAGES[3][1](spark, found, sf)
+    assert redacted.columns == columns
+    texts = {r.doc_id: r.text for r in redacted.collect()}
+    assert set(texts) == clean
+    for i, text in texts.items():
+        assert text == docs[i].text or "[SECRET:" in text
+        assert not [s for s in brute.secret_spans(text) if s[0] in (1, 2)]
+        assert bool(brute.secret_spans(docs[i].text)) <= ("[SECRET:" in text)
+    rows = corpus_pipeline.run(spark, sf).collect()
+    check(rows, texts, Encoder())
+
+
+def test_empty_documents_pass_through(spark, sf, tmp_path):
+    empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
+
+
+def test_registered_queries():
+    names = list(queries.queries())
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) or sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert quality and secrets
