@@ -134,7 +134,7 @@ def rollup_hierarchy(spark, sf_dir):
     return tidy(descriptive.hierarchy_totals(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity"), total=4)
 
 
-@query("WITH u AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings) SELECT 'x' AS column_name, count(x) AS count, round(avg(x::DOUBLE), 6) AS mean, round(stddev_pop(x::DOUBLE), 6) AS std, min(x::DOUBLE) AS min, max(x::DOUBLE) AS max, 0::BIGINT AS missing FROM u")
+@query("WITH u AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings) SELECT 'x' AS column_name, count(x) AS count, round(avg(x::DOUBLE), 6) AS mean, round(stddev_pop(x::DOUBLE), 6) AS std, round(min(x::DOUBLE), 6) AS min, round(max(x::DOUBLE), 6) AS max, 0::BIGINT AS missing FROM u")
 def vector_components(spark, sf_dir):
     flat = table(spark, sf_dir, "embeddings").select(F.explode("embedding").alias("x")).select(F.col("x").cast("double").alias("x"))
     return tidy(descriptive.streaming_statistics(flat, ["x"]))

@@ -147,7 +147,7 @@ def _neighbour_join(rows: DataFrame, key: list[str], xs: list[str], k: int) -> D
         raise ValueError(f"{total} rows; neighbour methods are exact up to {FIT_ROWS}: sample first")
     table = rows.withColumn("_id", F.row_number().over(Window.orderBy(*key)) - 1).toPandas()  # bounded by FIT_ROWS
     points, ids = table[xs].to_numpy(dtype=float), table["_id"].to_numpy()
-    fields = "id long, neighbours array<struct<d: double, id: long>>"
+    fields = "_nid long, neighbours array<struct<d: double, id: long>>"
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,10 +157,10 @@ def _neighbour_join(rows: DataFrame, key: list[str], xs: list[str], k: int) -> D
                 d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2 * x @ points.T, 0))
                 d[np.arange(len(own)), np.searchsorted(ids, own)] = np.inf
                 order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"id": own, "neighbours": [[{"d": float(d[i, j]), "id": int(ids[j])} for j in row if np.isfinite(d[i, j])] for i, row in enumerate(order)]})
+                yield pd.DataFrame({"_nid": own, "neighbours": [[{"d": float(d[i, j]), "id": int(ids[j])} for j in row if np.isfinite(d[i, j])] for i, row in enumerate(order)]})
 
     frame = rows.sparkSession.createDataFrame(table.sort_values("_id"))
-    return frame.repartition(8).mapInPandas(near, fields).join(frame.select(F.col("_id").alias("id"), *key), "id")
+    return frame.repartition(8).mapInPandas(near, fields).join(frame.select(F.col("_id").alias("_nid"), *key), "_nid")
 
 
 def local_outlier_factor(df: DataFrame, key: list[str], columns: list[str] | None = None, contamination: float = 0.1, n_neighbors: int = 20) -> DataFrame:
@@ -168,11 +168,11 @@ def local_outlier_factor(df: DataFrame, key: list[str], columns: list[str] | Non
     rows, xs = complete(df, key, columns)
     k = max(1, min(n_neighbors, rows.count() - 1))
     near = _neighbour_join(rows, key, xs, k).persist()
-    reach = near.select("id", F.element_at("neighbours", -1)["d"].alias("kd"))
-    pairs = near.select("id", F.explode("neighbours").alias("n")).select("id", F.col("n.d").alias("d"), F.col("n.id").alias("other"))
-    density = pairs.join(reach.withColumnRenamed("id", "other"), "other").groupBy("id").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
-    factor = pairs.join(density.select(F.col("id").alias("other"), F.col("lrd").alias("near_lrd")), "other").groupBy("id").agg(F.avg("near_lrd").alias("a")).join(density, "id")
-    return _flag(factor.join(near.select("id", *key), "id").select(*key, (F.col("a") / F.col("lrd")).alias("anomaly_score")), contamination)
+    reach = near.select("_nid", F.element_at("neighbours", -1)["d"].alias("kd"))
+    pairs = near.select("_nid", F.explode("neighbours").alias("n")).select("_nid", F.col("n.d").alias("d"), F.col("n.id").alias("other"))
+    density = pairs.join(reach.withColumnRenamed("_nid", "other"), "other").groupBy("_nid").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
+    factor = pairs.join(density.select(F.col("_nid").alias("other"), F.col("lrd").alias("near_lrd")), "other").groupBy("_nid").agg(F.avg("near_lrd").alias("a")).join(density, "_nid")
+    return _flag(factor.join(near.select("_nid", *key), "_nid").select(*key, (F.col("a") / F.col("lrd")).alias("anomaly_score")), contamination)
 
 
 def dbscan(df: DataFrame, key: list[str], columns: list[str] | None = None, eps: float | None = None, min_samples: int = 5) -> DataFrame:
@@ -186,10 +186,10 @@ def dbscan(df: DataFrame, key: list[str], columns: list[str] | None = None, eps:
     near = _neighbour_join(rows, key, xs, max(1, total - 1 if total <= 2_000 else 200)).persist()
     if eps is None:
         eps = near.agg(F.percentile(F.get(F.col("neighbours"), F.lit(min_samples - 2))["d"], F.lit(0.9)).alias("e")).first().e or 0.0
-    core = near.where(F.size(F.filter("neighbours", lambda n: n["d"] <= eps)) + 1 >= min_samples).select(F.col("id").alias("core_id"))
-    pairs = near.select("id", F.explode("neighbours").alias("n")).join(core, F.col("n.id") == F.col("core_id"))
-    to_core = pairs.groupBy("id").agg(F.min("n.d").alias("d"))
-    out = near.select("id", *key).join(to_core, "id", "left").join(core, F.col("id") == F.col("core_id"), "left")
+    core = near.where(F.size(F.filter("neighbours", lambda n: n["d"] <= eps)) + 1 >= min_samples).select(F.col("_nid").alias("core_id"))
+    pairs = near.select("_nid", F.explode("neighbours").alias("n")).join(core, F.col("n.id") == F.col("core_id"))
+    to_core = pairs.groupBy("_nid").agg(F.min("n.d").alias("d"))
+    out = near.select("_nid", *key).join(to_core, "_nid", "left").join(core, F.col("_nid") == F.col("core_id"), "left")
     clustered = F.col("core_id").isNotNull() | F.coalesce(F.col("d") <= eps, F.lit(False))
     return out.select(*key, F.when(clustered, F.lit(0.0)).otherwise(F.coalesce("d", F.lit(float("inf")))).alias("anomaly_score"), (~clustered).alias("is_anomaly"))
 
