@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, lengths, packing, pii, preference, quality, secrets, simhash, warc, winnow
+from . import html, lengths, packing, pii, preference, quality, secrets, simhash, sql, warc, winnow
 from .common import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_pairs": preference.SQL}
+    return {"op1_distribution_divergence": sql.QUALITY, "op4_preference_pairs": preference.SQL, "op5_winnowing": sql.CONTAMINATION}
