@@ -167,13 +167,13 @@ class Page:
         n = len(tags)
         holds, in_article = [False] * n, [False] * n
         for i in range(n - 1, 0, -1):
-            if tags[i] in KEPT_TAGS or holds[i]:
+            if holds[i] or (tags[i] in KEPT_TAGS and not self.marked[i]):
                 holds[parents[i]] = True
         cut = [False] * n
         for i in range(1, n):
             p = parents[i]
             in_article[i] = in_article[p] or tags[i] in ("article", "main")
-            own = tags[i] in CUT or (tags[i] == "header" and not in_article[p]) or (self.marked[i] and tags[i] not in KEPT_TAGS and not holds[i])
+            own = tags[i] in CUT or (tags[i] == "header" and not in_article[p]) or (self.marked[i] and tags[i] not in ("html", "body", "main", "h1") and not holds[i])
             cut[i] = cut[p] or own
         blocks = [b for b in self.blocks if not cut[b[0]]]
         blocks = self.without_link_lists(blocks)

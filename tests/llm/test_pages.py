@@ -14,6 +14,7 @@ ARTICLE = "First paragraph, with commas, and enough text to earn points. " * 3
     "<div class=wrap><header><h1>Site</h1></header><main><h1>Head</h1><section><p>{a}</p></section><p>Short <b>&amp; sw</b>eet.<script>var x = '</p><p>no</p>';</script></p><form>Sign up, now, please <input></form><aside>{a}</aside></main></div>",
     "<article><h1>Head</h1><p><b>{a}<br><p>Short <i>&amp;</i> sweet.<!-- <p>hidden</p> --><div class='ad-box'>Buy, buy, buy</div><p style='display: none'>{a}</p>",
     "<body><div><div class='cookie-notice'>We, use, cookies, and, more, and, more, and, yet, more</div><div><h1>Head</h1><p>{a}</p><p>Short &amp; sweet.</p><ul><li><a href=1>One link</a></li><li><a href=2>Two link</a></li></ul></div></div></body>",
+    "<body><article class='post social'><h1>Head</h1><p>{a}</p><p>Short &amp; sweet.</p></article><section id=comments><h2>3 comments</h2><article class=comment><p>{a}{a}</p></article></section></body>",
 ])
 def test_main_text(page):
     assert html.main_text(page.replace("{a}", ARTICLE)) == f"Head\n{ARTICLE.strip()}\nShort & sweet."
