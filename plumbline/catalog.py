@@ -140,6 +140,26 @@ def vector_components(spark, sf_dir):
     return tidy(descriptive.streaming_statistics(flat, ["x"]))
 
 
+@query(
+    "WITH v AS (SELECT o_totalprice AS v, cume_dist() OVER (ORDER BY o_totalprice) AS c, count(*) OVER (PARTITION BY o_totalprice) AS t, count(*) OVER () AS n, min(o_totalprice) OVER () AS lo, max(o_totalprice) OVER () AS hi, avg(o_totalprice) OVER () AS m FROM orders), "
+    "f AS (SELECT *, (v - lo) / (hi - lo) AS u, 1 - exp(-(v - lo) / (m - lo)) AS e FROM v) SELECT max(n) AS n, round(max(greatest(c - u, u - (c - t / n::DOUBLE))), 6) AS d_uniform, round(max(greatest(c - e, e - (c - t / n::DOUBLE))), 6) AS d_exponential FROM f"
+)
+def pattern_distances(spark, sf_dir):
+    return tidy(descriptive.pattern_distances(table(spark, sf_dir, "orders"), "o_totalprice"))
+
+
+@query("SELECT 'l_quantity' AS column_name, a.n AS count_left, round(a.m, 6) AS mean_left, round(a.s, 6) AS std_left, b.n AS count_right, round(b.m, 6) AS mean_right, round(b.s, 6) AS std_right, round(b.m - a.m, 6) AS mean_change FROM (SELECT count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem WHERE l_returnflag = 'A') a, (SELECT count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem WHERE l_returnflag = 'N') b")
+def compare_tables(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    pick = lambda flag: lines.where(F.col("l_returnflag") == flag).select("l_quantity")
+    return tidy(descriptive.compare_tables(pick("A"), pick("N")))
+
+
+@query("SELECT 'n_nationkey' AS column_name, CAST(4 * count(*) AS BIGINT) AS bytes FROM nation UNION ALL SELECT 'n_name', CAST(sum(strlen(n_name)) AS BIGINT) FROM nation UNION ALL SELECT 'n_regionkey', CAST(4 * count(*) AS BIGINT) FROM nation")
+def estimated_bytes(spark, sf_dir):
+    return descriptive.estimated_bytes(table(spark, sf_dir, "nation"))
+
+
 # Quality -----------------------------------------------------------------------------------------
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]

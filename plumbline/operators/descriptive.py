@@ -173,3 +173,44 @@ def hierarchy_totals(df: DataFrame, path: list[str], value: str | None = None) -
         same &= (F.col("p.level") <= i) | F.col(f"c.{quoted(p)}").eqNullSafe(F.col(f"p.{quoted(p)}"))
     joined = child.join(F.broadcast(parent), same, "left")  # the tree is no larger than a chart
     return joined.select(*[F.col(f"c.{quoted(p)}") for p in path], F.col("c.level").alias("level"), F.col("c.total").alias("total"), F.coalesce(100 * F.try_divide(F.col("c.total"), F.col("p.total")), F.lit(100.0)).alias("percent_of_parent"))
+
+
+def pattern_distances(df: DataFrame, column: str) -> DataFrame:
+    """One row: n and the Kolmogorov-Smirnov distances to a uniform and (if all values are positive) an exponential curve fitted by range and mean."""
+    from .correlation import average_ranks
+
+    v = normalize(df).select(number(column).alias("v")).where("v is not null")
+    facts = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))
+    ranks = average_ranks(v, "v", []).crossJoin(F.broadcast(facts))  # one row
+    upto, below = (F.col("rank") + (F.col("_ties") - 1) / 2.0) / F.col("n"), (F.col("rank") - (F.col("_ties") + 1) / 2.0) / F.col("n")
+    distance = lambda curve: F.max(F.greatest(upto - curve, curve - below))
+    uniform = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
+    exponential = F.when(F.col("lo") > 0, 1 - F.exp(-F.try_divide(F.col("v") - F.col("lo"), F.col("mean") - F.col("lo"))))
+    return ranks.agg(F.max("n").alias("n"), distance(uniform).alias("d_uniform"), distance(exponential).alias("d_exponential"))
+
+
+def patterns(df: DataFrame, column: str, bins: int = 20, alpha: float = 0.05) -> dict:
+    """Whether the values look uniform or exponential, and how many peaks their histogram has."""
+    from ..functions.special import kolmogorov_sf
+    from .charts import modes_in_histogram
+
+    r = pattern_distances(df, column).first()
+    if not r.n or r.n <= 10:
+        return {"uniform_like": False, "exponential_like": False, "modes": 0, "multimodal": False}
+    like = lambda d: d is not None and kolmogorov_sf(d, r.n) > alpha
+    modes = modes_in_histogram(df, column, bins).count() if r.n > 20 else 0
+    return {"uniform_like": like(r.d_uniform), "exponential_like": like(r.d_exponential), "modes": modes, "multimodal": modes > 1}
+
+
+def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Full outer join of two tables' profiles by column: counts, means and deviations of both and the change of the mean."""
+    a, b = (streaming_statistics(d).select("column_name", F.col("count").alias(f"count_{s}"), F.col("mean").alias(f"mean_{s}"), F.col("std").alias(f"std_{s}")) for d, s in ((left, "left"), (right, "right")))
+    return a.join(b, "column_name", "full_outer").withColumn("mean_change", F.col("mean_right") - F.col("mean_left"))
+
+
+def estimated_bytes(df: DataFrame) -> DataFrame:
+    """(column_name, bytes): fixed widths for numbers and times, UTF-8 lengths for text; one aggregate."""
+    widths = {"tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "boolean": 1}
+    texts = categorical_columns(df)
+    kinds = dict(df.dtypes)
+    return long_form(df, df.columns, "column_name", {"bytes": lambda c: F.coalesce(F.sum(F.octet_length(col(c))), F.lit(0)) if c in texts else F.count(F.lit(1)) * widths.get(kinds[c], 8)})

@@ -46,6 +46,16 @@ def one_way_anova(df: DataFrame, value: str, group: str, alpha: float = 0.05) ->
     return {"test": "one_way_anova", "f": r.f, "p_value": p, "groups": r.groups, "n": r.n, "eta_squared": r.eta_squared, "effect": interpret_eta_squared(r.eta_squared or 0.0), "significant": p is not None and p < alpha}
 
 
+def anova_assumptions(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> dict:
+    """Normality within each group of at least three values and equal variances, with advice."""
+    v = samples(df, value, group)
+    names = [r.g for r in group_moments(df, value, group).where("n >= 3").select("g").orderBy("g").collect()]
+    normal = {g: normality(v.where(F.col("g") == g), "v", alpha).get("likely_normal", False) for g in names}
+    equal = levene(df, value, group)["equal_variances"]
+    advice = "the assumptions hold" if all(normal.values()) and equal else "use Kruskal-Wallis" if not all(normal.values()) else "variances differ: compare with care"
+    return {"normal": normal, "equal_variances": equal, "recommendation": advice}
+
+
 def two_way_anova(df: DataFrame, value: str, a: str, b: str) -> list[dict]:
     """Type II sums of squares with interaction, by normal equations over the cells' counts and sums."""
     cells = normalize(df).select(col(a).cast("string").alias("a"), col(b).cast("string").alias("b"), number(value).alias("v")).na.drop()

@@ -212,6 +212,15 @@ def test_features(spark):
     assert facts["method"] == "stratified"
 
 
+def test_patterns(spark, mixed):
+    df, _ = mixed
+    even = spark.createDataFrame([(float(i) + 1,) for i in range(200)], "v double")
+    assert descriptive.patterns(even, "v")["uniform_like"] and not descriptive.patterns(even, "v")["exponential_like"]
+    two = spark.createDataFrame([(float(i % 7),) for i in range(200)] + [(float(100 + i % 7),) for i in range(200)], "v double")
+    assert descriptive.patterns(two, "v", 10)["multimodal"]
+    assert hypothesis.anova_assumptions(df.where("x is not null"), "x", "g")["equal_variances"] in (True, False)
+
+
 def test_charts(spark, mixed):
     df, pdf = mixed
     h = charts.histogram(df, "x", 10).orderBy("bin").collect()
