@@ -110,7 +110,8 @@ def _distance(counts: Column, lang: Column, kind: str) -> Column:
     shares = F.lit(None).cast("array<array<double>>")
     for name in references():
         shares = F.when(lang == name, F.array(*[F.array(*[F.lit(float(v)) for v in q]) for q in language_shares(name, kind)])).otherwise(shares)
-    return F.array_min(F.transform(shares, lambda q: js_distance(counts, q)))
+    # Bound, as an expression that a lambda names is else evaluated for every reference.
+    return bind(counts, lambda c: F.array_min(F.transform(shares, lambda q: js_distance(c, q))))
 
 
 def repeated_words(words: Column) -> Column:
@@ -181,4 +182,7 @@ def keep_good(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
     """docs, same columns, without the rows that are not kept."""
     names = tuple(docs.columns)
     judged = _verdict(measure(docs, id_column=id_column, text_column=text_column, lang_column=lang_column, carried=names))
-    return judged.where("kept").select(*[F.col(f"_c_{c}").alias(c) for c in names])
+    # The optimizer would copy the verdict's whole expression into a filter below every projection; it moves no filter
+    # below a projection that holds a partition's number, so the verdict is computed once.
+    decided = judged.select(*[f"_c_{c}" for c in names], "kept", F.spark_partition_id().alias("_part"))
+    return decided.where(F.col("kept") & (F.col("_part") >= 0)).select(*[F.col(f"_c_{c}").alias(c) for c in names])
