@@ -126,9 +126,9 @@ def dismissal_steps(found: DataFrame, fdr: float) -> dict[int, int]:
     return {r["class"]: r["step"] for r in passed.groupBy("class").agg(F.min("step").alias("step")).collect()}
 
 
-def _scan(docs: DataFrame, text: str, carried: list[str]) -> DataFrame:
-    """The carried columns with base spans and candidate tokens, written once: the texts are searched in one pass."""
-    own = docs.select(*carried, F.coalesce(F.col(text), F.lit("")).alias("_searched")).withColumn("_base", base_spans(F.col("_searched")))
+def _scan(carried: DataFrame, text: str) -> DataFrame:
+    """The carried columns with _base spans and candidate _tokens, written once: the texts are searched in one pass."""
+    own = carried.withColumn("_searched", F.coalesce(F.col(text), F.lit(""))).withColumn("_base", base_spans(F.col("_searched")))
     return materialize(own.withColumn("_tokens", candidates(F.col("_searched"), F.col("_base"))).drop("_searched"))
 
 
@@ -144,7 +144,7 @@ def find_secrets(docs: DataFrame, *, fdr: float = 0.05, id_column: str = "doc_id
     A span has kind, rank, start, end (code points, end exclusive), text and group. Null text counts as empty; repeated
     rows are searched each; an empty table gives no row; other columns are ignored.
     """
-    found = _scan(docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text")), "_text", ["_id"])
+    found = _scan(docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text")), "_text")
     return found.select(F.col("_id").alias("doc_id"), F.col("_base").alias("base"), _all_spans(found, fdr).alias("spans"))
 
 
@@ -163,7 +163,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, *, fdr: float = 0.05, text_column: str = "text") -> DataFrame:
     """docs, same columns, with every secret's span replaced by [SECRET:kind]; null texts stay null."""
-    found = _scan(docs, text_column, docs.columns)
-    return found.withColumn("_spans", _all_spans(found, fdr)).select(
-        *[S.replaced(F.col(c), F.col("_spans"), "SECRET").alias(c) if c == text_column else F.col(c) for c in docs.columns]
-    )
+    # Columns go by their place meanwhile, so that none of theirs clashes with ours.
+    found = _scan(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index(text_column)}")
+    placed = [(F.col(f"c{i}"), name) for i, name in enumerate(docs.columns)]
+    return found.withColumn("_spans", _all_spans(found, fdr)).select(*[(S.replaced(c, F.col("_spans"), "SECRET") if name == text_column else c).alias(name) for c, name in placed])

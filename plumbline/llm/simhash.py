@@ -218,8 +218,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the documents that are near-duplicates of one with a smaller id; repeated rows of an id count as copies."""
     found = materialize(near_duplicates(docs, id_column=id_column, text_column=text_column))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(small(gone), docs[id_column] == F.col("gone_id"), "left_anti")
+    gone = small(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct())
+    kept = docs.join(gone, docs[id_column] == gone["gone_id"], "left_anti")
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept

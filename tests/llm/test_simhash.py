@@ -56,7 +56,7 @@ def test_equals_brute_force(spark):
     texts = made()
     fps = {i: brute_fingerprint(t) for i, t in texts.items()}
     want = brute_components(fps)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(5, None, "x")], "doc_id long, text string, fp string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(5, None, "x")], "doc_id long, text string, gone_id string")
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(texts) + 1
     for r in rows:
