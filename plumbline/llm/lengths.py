@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import require
+from .common import materialize, require
 from .tokens import Encoder
 
 #: Lengths of a block of the two-level sums.
@@ -42,7 +42,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     task holds more than a block or the short list of blocks. No documents: no row.
     """
     counts = lengths.where(F.col("n_tokens").isNotNull()).groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    # One short row per length: written once, as the blocks' sums and the rows both need it.
+    counts = materialize(counts).withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("n_tokens").alias("b_tokens"))
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
