@@ -117,8 +117,9 @@ def _distance(counts: Column, lang: Column, kind: str) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more, the first included.
 
-    Windows are ordered by hash and place; those with an equal neighbour are the repeated ones. In order of place, each
-    covers three words, or as many as there are up to the next one.
+    Most texts have as many distinct window hashes as windows and are done. In the others windows are ordered by hash
+    and place; those with an equal neighbour are the repeated ones. In order of place, each covers three words, or as
+    many as there are up to the next one.
     """
 
     def marked(windows: Column) -> Column:
@@ -126,8 +127,12 @@ def repeated_words(words: Column) -> Column:
         places = F.array_sort(F.transform(F.filter(windows, lambda x, i: near(x, i - 1) | near(x, i + 1)), lambda x: x["at"]))
         return bind(places, lambda p: F.aggregate(F.transform(p, lambda at, i: F.coalesce(F.least(F.get(p, i + 1) - at, F.lit(3)), F.lit(3))), F.lit(0), lambda a, v: a + v))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("at")))
-    return F.when(F.size(words) >= 4, bind(F.sort_array(windows), marked)).otherwise(F.lit(0))
+    def counted(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(bind(placed, marked))
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) >= 4, bind(hashes, counted)).otherwise(F.lit(0))
 
 
 def measure(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", carried: tuple[str, ...] = ()) -> DataFrame:
