@@ -18,6 +18,8 @@ from .common import bind, materialize, require, small
 WINDOW_WORDS = 13
 #: Words of a k-gram; a window of WINDOW_WORDS - K + 1 k-grams spans WINDOW_WORDS words.
 K = 8
+#: Items are broadcast if they have at most this many words in all, else shuffled by their id.
+BROADCAST_WORDS = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,12 +101,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
     """
     items = item_table(benchmark)
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    tokenised = rows.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
-    searched = tokenised.where(F.col("doc_id").isNotNull() & (F.size("words") > 0))
-    found = materialize(hits(searched, items))
+    tokenise = lambda df: df.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
+    tokenised, named = tokenise(rows), rows.where(F.col("doc_id").isNotNull())
+    found = materialize(hits(tokenise(named), items))
     wanted = small(found.select("doc_id").distinct())
-    again = searched.join(wanted, "doc_id", "left_semi").distinct()
-    pairs = again.join(found, "doc_id").join(small(items), "item_id")
+    # Only documents with a hit are cut into words again.
+    again = tokenise(named.join(wanted, "doc_id", "left_semi").distinct())
+    item_words = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
+    pairs = again.join(found, "doc_id").join(F.broadcast(items) if item_words <= BROADCAST_WORDS else items, "item_id")
     ranges = matched_ranges(pairs)
     items_of = ranges.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ranges")))).alias("ranges")
@@ -130,4 +134,5 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the contaminated documents; rows with a null id stay."""
     bad = contamination(docs, benchmark, id_column=id_column, text_column=text_column).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(small(materialize(bad)), docs[id_column] == F.col("bad_id"), "left_anti")
+    bad = small(materialize(bad))
+    return docs.join(bad, docs[id_column] == bad["bad_id"], "left_anti")

@@ -45,7 +45,7 @@ def made():
 
 def test_equals_brute_force(spark):
     items, docs = made()
-    d = spark.createDataFrame([(i, t, "s") for i, t in docs] + [(docs[0][0], docs[0][1], "s")], "doc_id long, text string, words string")
+    d = spark.createDataFrame([(i, t, "s") for i, t in docs] + [(docs[0][0], docs[0][1], "s")], "doc_id long, text string, bad_id string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute(t, [x for x in items if x[0] is not None]) for i, t in docs}
     rows = winnow.digest(winnow.contamination(d, b)).collect()
