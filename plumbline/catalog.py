@@ -577,7 +577,7 @@ def tumbling_windows(spark, sf_dir):
 
 @query()
 def stl_anomalies(spark, sf_dir):
-    return day(timeseries.stl_anomalies(daily(spark, sf_dir).limit(400), "period", "value", 7), "t")
+    return day(timeseries.stl_anomalies(daily(spark, sf_dir), "period", "value", 7), "t")
 
 
 @query()
