@@ -516,7 +516,7 @@ def week_year_heatmap(spark, sf_dir):
 
 @query("WITH d AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS t FROM orders WHERE o_orderkey % 4 = 0), g AS (SELECT unnest(generate_series(min(t)::TIMESTAMP, max(t)::TIMESTAMP, INTERVAL 1 DAY)) AS t FROM d) SELECT strftime(t, '%Y-%m-%d') AS t FROM g WHERE t NOT IN (SELECT t FROM d)")
 def missing_days(spark, sf_dir):
-    return day(timeseries.missing_timestamps(table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0"), "o_orderdate", "D"), "t")
+    return day(timeseries.missing_timestamps(table(spark, sf_dir, "orders"), "o_orderdate", "D"), "t")
 
 
 PLACED = f"SELECT row_number() OVER (ORDER BY period) - 1 AS i, value AS v FROM ({DAILY})"

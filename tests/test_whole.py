@@ -64,3 +64,9 @@ def test_stl_scores_every_day(spark, tmp_path):
     score = np.abs(rest) / rest.std()
     np.testing.assert_allclose(own["anomaly_score"], score, atol=1e-6)
     assert own["is_anomaly"].tolist() == (score > 3).tolist() and own["is_anomaly"].iloc[333]
+
+
+def test_missing_days_reads_every_order(spark, tmp_path):
+    orders(spark, tmp_path, [0, 1, 2, 3, 7, 8, 10], per_day=1)  # only one key is a multiple of 4
+    own = catalog.queries()["missing_days"](spark, str(tmp_path)).toPandas()
+    assert sorted(own["t"]) == ["1994-01-05", "1994-01-06", "1994-01-07", "1994-01-10"]
