@@ -26,7 +26,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 LEAST_TOKEN = 20
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}={{0,2}}(?![A-Za-z0-9+/_=-])"
+# '=' may stand before a token (name=value); it belongs to one as trailing padding only.
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}={{0,2}}(?![A-Za-z0-9+/_=-])"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Name, what a token of the encoding looks like, its alphabet in order. The first that fits is taken.
 ENCODINGS = (
