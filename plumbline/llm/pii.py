@@ -34,8 +34,11 @@ GENERATORS = {
     "birth": r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])",
 }
 BEFORE, AFTER = 32, 12
-CUES = r"(?i)(?:phone|tel|call|mobile|fax|ssn|social|iban|account|mail|contact|write to|born|birth|dob)"
-NEGATIVE_CUES = r"(?i)(?:order|invoice|part|version|isbn|sku|ref|serial|build|ticket|model)"
+# Whole words: "part" is not in "department".
+CUES = r"(?i)(?<![A-Za-z])(?:(?:tele|cell)?phones?|tel|call(?:s|ed)?|mobile|fax|ssn|social|ibans?|accounts?|(?:e-?)?mails?|contacts?|write to|born|birth(?:day|date)?|dob)(?![A-Za-z])"
+NEGATIVE_CUES = r"(?i)(?<![A-Za-z])(?:orders?|invoices?|parts?|versions?|isbn|sku|ref(?:erence)?|serial|builds?|tickets?|models?)(?![A-Za-z])"
+#: How a masked address ends: a masked dot, or a top-level domain.
+MASKED_END = r"(?i)(?:[(\[]dot[)\]]\x20?[a-z]{2,}|\.\x20?(?:com|org|net|edu|gov|info|[a-z]{2}))$"
 FEATURES = [*EXTRA_KINDS, "length", "digits", "distinct_digits", "separators", "valid", "cue", "negative_cue", "digits_before", "digits_after"]
 
 
@@ -95,6 +98,7 @@ def _valid(kind: Column, text: Column, digits: Column) -> Column:
         F.when(kind == "phone_local", (F.length(digits) == 10) & ~F.substring(digits, 1, 1).isin("0", "1") & ~F.substring(digits, 4, 1).isin("0", "1"))
         .when(kind == "ssn", ~area.isin("000", "666") & (F.substring(digits, 1, 1) != "9") & (group != "00") & (serial != "0000"))
         .when(kind == "iban", _iban_ok(text))
+        .when(kind == "email_masked", text.rlike(MASKED_END))
         .when(kind == "birth", month.between(1, 12) & day.between(1, 31))
         .otherwise(F.lit(True))
     )
