@@ -137,16 +137,15 @@ def _standardised(rows: DataFrame, xs: list[str]) -> DataFrame:
     return rows.crossJoin(F.broadcast(stats)).select(*[c for c in rows.columns if c not in xs], *[F.coalesce((F.col(x) - F.col(f"_m_{x}")) / F.col(f"_s_{x}"), F.lit(0.0)).alias(x) for x in xs])  # one row
 
 
-def _neighbour_join(rows: DataFrame, key: list[str], xs: list[str], k: int) -> DataFrame:
-    """(key..., neighbours): the k nearest other rows as (distance, key), rows in blocks against a bounded table in memory.
+def _numbered(rows: DataFrame, key: list[str], xs: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """The rows with _id from 0 by key, and their features by _id: 8 bytes a number in the memory of the driver and of each task."""
+    table = rows.withColumn("_id", F.row_number().over(Window.orderBy(*key, *xs)) - 1).toPandas().sort_values("_id")
+    frame = rows.sparkSession.createDataFrame(table, rows.schema.add("_id", "long"))
+    return frame.repartition(max(8, len(table) // 5_000)), table[xs].to_numpy(dtype=float)
 
-    The whole table is the search set and must stay within FIT_ROWS rows (exact); larger tables raise.
-    """
-    total = rows.count()
-    if total > FIT_ROWS:
-        raise ValueError(f"{total} rows; neighbour methods are exact up to {FIT_ROWS}: sample first")
-    table = rows.withColumn("_id", F.row_number().over(Window.orderBy(*key)) - 1).toPandas()  # bounded by FIT_ROWS
-    points, ids = table[xs].to_numpy(dtype=float), table["_id"].to_numpy()
+
+def _nearest(frame: DataFrame, xs: list[str], points: np.ndarray, ids: np.ndarray, k: int) -> DataFrame:
+    """(_nid, neighbours): the k nearest other points as (distance, id), equal distances by id. Rows and points in blocks."""
     fields = "_nid long, neighbours array<struct<d: double, id: long>>"
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,13 +153,23 @@ def _neighbour_join(rows: DataFrame, key: list[str], xs: list[str], k: int) -> D
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
                 x, own = part[xs].to_numpy(dtype=float), part["_id"].to_numpy()
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2 * x @ points.T, 0))
-                d[np.arange(len(own)), np.searchsorted(ids, own)] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"_nid": own, "neighbours": [[{"d": float(d[i, j]), "id": int(ids[j])} for j in row if np.isfinite(d[i, j])] for i, row in enumerate(order)]})
+                best, which = np.empty((len(own), 0)), np.empty((len(own), 0), dtype=np.int64)
+                for first in range(0, len(points), 8_192):
+                    p, pid = points[first : first + 8_192], ids[first : first + 8_192]
+                    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * x @ p.T, 0))
+                    d[own[:, None] == pid[None, :]] = np.inf
+                    d, i = np.hstack([best, d]), np.hstack([which, np.broadcast_to(pid, d.shape)])
+                    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    best, which = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                yield pd.DataFrame({"_nid": own, "neighbours": [[{"d": float(v), "id": int(n)} for v, n in zip(*r, strict=True) if np.isfinite(v)] for r in zip(best, which, strict=True)]})
 
-    frame = rows.sparkSession.createDataFrame(table.sort_values("_id"))
-    return frame.repartition(8).mapInPandas(near, fields).join(frame.select(F.col("_id").alias("_nid"), *key), "_nid")
+    return frame.mapInPandas(near, fields)
+
+
+def _neighbour_join(rows: DataFrame, key: list[str], xs: list[str], k: int) -> DataFrame:
+    """(_nid, neighbours, key...): the k nearest other rows of each row, over all rows."""
+    frame, points = _numbered(rows, key, xs)
+    return _nearest(frame, xs, points, np.arange(len(points)), k).join(frame.select(F.col("_id").alias("_nid"), *key), "_nid")
 
 
 def local_outlier_factor(df: DataFrame, key: list[str], columns: list[str] | None = None, contamination: float = 0.1, n_neighbors: int = 20) -> DataFrame:
@@ -182,14 +191,15 @@ def dbscan(df: DataFrame, key: list[str], columns: list[str] | None = None, eps:
     """
     rows, xs = complete(df, key, columns)
     rows = _standardised(rows, xs)
-    total = rows.count()
-    near = _neighbour_join(rows, key, xs, max(1, total - 1 if total <= 2_000 else 200)).persist()
+    # A row is core if its (min_samples - 1)-th other row is within eps, so no more neighbours are needed.
+    frame, points = _numbered(rows, key, xs)
+    near = _nearest(frame, xs, points, np.arange(len(points)), max(1, min_samples - 1)).persist()
     if eps is None:
         eps = near.agg(F.percentile(F.get(F.col("neighbours"), F.lit(min_samples - 2))["d"], F.lit(0.9)).alias("e")).first().e or 0.0
     core = near.where(F.size(F.filter("neighbours", lambda n: n["d"] <= eps)) + 1 >= min_samples).select(F.col("_nid").alias("core_id"))
-    pairs = near.select("_nid", F.explode("neighbours").alias("n")).join(core, F.col("n.id") == F.col("core_id"))
-    to_core = pairs.groupBy("_nid").agg(F.min("n.d").alias("d"))
-    out = near.select("_nid", *key).join(to_core, "_nid", "left").join(core, F.col("_nid") == F.col("core_id"), "left")
+    ids = np.sort(np.array([r.core_id for r in core.collect()], dtype=np.int64))  # of the size of points at most
+    to_core = _nearest(frame, xs, points[ids], ids, 1).select("_nid", F.get("neighbours", F.lit(0))["d"].alias("d"))
+    out = frame.select(F.col("_id").alias("_nid"), *key).join(to_core, "_nid", "left").join(core, F.col("_nid") == F.col("core_id"), "left")
     clustered = F.col("core_id").isNotNull() | F.coalesce(F.col("d") <= eps, F.lit(False))
     return out.select(*key, F.when(clustered, F.lit(0.0)).otherwise(F.coalesce("d", F.lit(float("inf")))).alias("anomaly_score"), (~clustered).alias("is_anomaly"))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from plumbline import catalog
+from plumbline.operators import anomaly
 
 
 def orders(spark, folder, days, per_day=2):
@@ -70,3 +71,26 @@ def test_missing_days_reads_every_order(spark, tmp_path):
     orders(spark, tmp_path, [0, 1, 2, 3, 7, 8, 10], per_day=1)  # only one key is a multiple of 4
     own = catalog.queries()["missing_days"](spark, str(tmp_path)).toPandas()
     assert sorted(own["t"]) == ["1994-01-05", "1994-01-06", "1994-01-07", "1994-01-10"]
+
+
+def test_dbscan_counts_all_neighbours(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, 2000), rng.normal(30, 0.5, 210), [60.0, 61.0]])  # more than 200 rows that are not core lie between
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, v double")
+    z = (x - x.mean()) / x.std()
+    d = np.abs(z[:, None] - z[None, :])
+    for least in (5, 205, 215):
+        eps = np.quantile(np.sort(d, axis=1)[:, least - 1], 0.9)
+        core = (d <= eps + 1e-9).sum(1) >= least
+        to_core = d[:, core].min(1)
+        own = anomaly.dbscan(df, ["id"], min_samples=least).toPandas().sort_values("id")
+        assert own["is_anomaly"].tolist() == (to_core > eps + 1e-9).tolist() and own["is_anomaly"].any() and not own["is_anomaly"].all()
+        np.testing.assert_allclose(own["anomaly_score"], np.where(to_core > eps + 1e-9, to_core, 0), atol=1e-6)
+
+
+def test_neighbour_methods_take_more_than_20000_rows(spark):
+    df = spark.range(20_100).selectExpr("id", "CAST(IF(id = 77, 50000, id) AS DOUBLE) AS v")
+    for method in (anomaly.dbscan, anomaly.local_outlier_factor):
+        own = method(df, ["id"]).toPandas().set_index("id")
+        assert len(own) == 20_100 and own["is_anomaly"][77] and np.isfinite(own["anomaly_score"]).all()
+        assert own["anomaly_score"].idxmax() == 77
