@@ -3,8 +3,11 @@
 Two 64-bit fingerprints at most 4 bits apart agree in at least 4 of their 8 byte positions. The index posts every
 distinct fingerprint under groups of positional bytes. A single positional byte would put 1/256 of all fingerprints
 under one posting; the groups are triples of positions, chosen so that any 4 positions contain one of 20 triples (or
-all 70 groups of 4 positions for very many fingerprints). Within a posting the pairs' shared positional bytes are
-tallied, pairs below the guaranteed 4 matches are dropped, and the rest is verified by its differing bits.
+all 70 groups of 4 positions for very many fingerprints: another plan with the same links). Of the pairs that meet in a
+posting the shared positional bytes are tallied, pairs below the guaranteed 4 matches are dropped, and only the rest is
+verified by its differing bits; posting_counts tells how many pairs each step leaves. The tally is taken where a pair
+meets, as counting its meetings over all postings would shuffle every pair of a hot posting.
+A posting of very many fingerprints is posted anew under a fourth position, which every pair it must find shares too.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ BYTES = 8
 MATCHES = BYTES - MAX_BITS
 #: Beyond so many distinct fingerprints postings are keyed by 4 bytes, as 2**24 keys would hold too many each.
 WIDE_FROM = 1 << 26
-#: Rows of a posting that are compared at once; larger postings go block by block.
-BLOCK = 1024
+#: A posting of more fingerprints is split by the byte at a further position.
+HOT_POSTING = 1 << 13
+#: Postings up to this size are compared pair by pair, larger ones star by star, BLOCK rows at once.
+SMALL_POSTING, BLOCK = 64, 1024
+#: Documents of a fingerprint from which its component is broadcast to them, so that no task gathers them.
+HOT_COPIES = 100_000
 
 
 def position_groups(wide: bool = False) -> list[tuple[int, ...]]:
@@ -72,115 +79,173 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row per row of docs. Null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", versions: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long, one row per row of docs. Null and wordless texts have 0.
+
+    versions adds version, a hash of the text.
+    """
+    carried = ["doc_id", "version"] if versions else ["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = np.fromiter((fingerprint(t if isinstance(t, str) else None) for t in batch["text"]), dtype=np.uint64, count=len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64)})
+            yield pd.DataFrame({c: batch[c] for c in carried} | {"fp": values.view(np.int64)})
 
-    rows = require(docs, id_column, text_column).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    rows = require(docs, id_column, text_column).toDF("doc_id", "text")
+    rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.xxhash64("text").alias("version")] if versions else []))
+    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in [*carried, "fp"]))
 
 
-def _compare(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pairs that pass the tally of shared positional bytes and the verification."""
-    differ = x ^ y
+def shared_bytes(differ: np.ndarray) -> np.ndarray:
+    """The tally: byte positions in which the two fingerprints of each pair (given as their exclusive or) agree."""
     fold = differ | (differ >> np.uint64(4))
     fold |= fold >> np.uint64(2)
     fold |= fold >> np.uint64(1)
-    unequal = np.bitwise_count(fold & np.uint64(0x0101010101010101))
-    return (unequal <= BYTES - MATCHES) & (np.bitwise_count(differ) <= MAX_BITS)
-
-
-def _forest(n: int, left: np.ndarray, right: np.ndarray, parent: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs that still connect something."""
-    parent = parent if parent is not None else list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        p, q = find(a), find(b)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            kept.append((a, b))
-    return kept, parent
+    return BYTES - np.bitwise_count(fold & np.uint64(0x0101010101010101))
 
 
 class _Postings:
-    """Links within complete postings, each link in the first group of its positions only, thinned to a spanning forest."""
+    """Links within complete postings, each emitted under the first group of its positions only.
+
+    Postings above SMALL_POSTING give a forest that connects what their links connect: its fingerprints are gathered in
+    stars around pivots, then stars are compared as long as they aren't connected. So the work of a dense posting, of
+    which one star holds nearly all, is linear, and what it emits always is. A link that isn't emitted here, as another
+    group comes first, is made there, directly or over others, so connecting over it is right.
+    """
 
     def __init__(self, groups: list[tuple[int, ...]]):
         self.masks = np.array([sum(0xFF << (8 * p) for p in g) for g in groups], dtype=np.uint64)
+        self.met = self.reached = self.linked = 0
+
+    def near(self, differ: np.ndarray) -> np.ndarray:
+        """Which of the pairs that met are links: those that reach the guaranteed matches are verified, others dropped."""
+        reached = np.flatnonzero(shared_bytes(differ) >= MATCHES)
+        found = reached[np.bitwise_count(differ[reached]) <= MAX_BITS]
+        self.met, self.reached, self.linked = self.met + len(differ), self.reached + len(reached), self.linked + len(found)
+        return found
 
-    def first(self, differ: np.ndarray, group: np.ndarray) -> np.ndarray:
+    def first(self, differ: np.ndarray, group: int | np.ndarray) -> np.ndarray:
         """Whether group is the first whose positional bytes agree."""
         mine = np.full(len(differ), -1)
         for g in range(len(self.masks) - 1, -1, -1):
             mine[(differ & self.masks[g]) == 0] = g
         return mine == group
 
+    def stars(self, fp: np.ndarray) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+        """Members of each star, its pivot first, and the links between pivots and members."""
+        found, links, free = [], [], np.arange(len(fp))
+        while len(free):
+            pivot, rest = free[0], free[1:]
+            near = self.near(fp[rest] ^ fp[pivot])
+            found.append(np.concatenate(([pivot], rest[near])))
+            links += [(int(pivot), int(m)) for m in rest[near]]
+            free = np.delete(rest, near)
+        return found, links
+
+    def forest(self, fp: np.ndarray) -> list[tuple[int, int]]:
+        """Links that connect every two of the fingerprints that links connect."""
+        stars, links = self.stars(fp)
+        stars.sort(key=len)
+        label = np.empty(len(fp), dtype=np.int64)
+        for k, members in enumerate(stars):
+            label[members] = k
+        order = np.concatenate(stars)
+        end = 0
+        for members in stars:
+            end += len(members)
+            rest = order[end:][::-1]  # the largest stars first
+            while len(rest := rest[label[rest] != label[members[0]]]):
+                part, rest = rest[:BLOCK], rest[BLOCK:]
+                for at in range(0, len(members), BLOCK):
+                    own = members[at : at + BLOCK]
+                    part = part[label[part] != label[members[0]]]
+                    if not len(part):
+                        break
+                    hit = self.near((fp[own][:, None] ^ fp[part][None, :]).ravel())
+                    # One link to each connected part that is found.
+                    left, right = own[hit // len(part)], part[hit % len(part)]
+                    for k in np.unique(label[right], return_index=True)[1].tolist():
+                        x, y = int(left[k]), int(right[k])
+                        links.append((x, y))
+                        label[label == label[y]] = label[x]
+        return links
+
     def links(self, bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """bucket is sorted; fp holds distinct fingerprints within a bucket."""
         edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         sizes = np.diff(np.concatenate((edge, [len(bucket)])))
         size_of = np.repeat(sizes, sizes)
         rank = np.arange(len(bucket)) - np.repeat(edge, sizes)
-        group = bucket >> 32
-        out_a, out_b = [], []
+        group = bucket >> GROUP_SHIFT & 0xFF
+        out_a, out_b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+
+        def emit(a: np.ndarray, b: np.ndarray, groups: int | np.ndarray) -> None:
+            ok = self.first(a ^ b, groups)
+            out_a.append(a[ok])
+            out_b.append(b[ok])
+
         step = 1
-        at = np.flatnonzero((size_of > 1) & (size_of <= 64))
+        at = np.flatnonzero((size_of > 1) & (size_of <= SMALL_POSTING))
         while len(at := at[rank[at] + step < size_of[at]]):
-            ok = _compare(fp[at], fp[at + step])
-            hit = at[ok]
-            hit = hit[self.first(fp[hit] ^ fp[hit + step], group[hit])]
-            out_a.append(fp[hit])
-            out_b.append(fp[hit + step])
+            hit = at[self.near(fp[at] ^ fp[at + step])]
+            emit(fp[hit], fp[hit + step], group[hit])
             step += 1
-        for start, size in zip(edge[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-            own, parent = fp[start : start + size], None
-            for i in range(0, size, BLOCK):
-                for j in range(i, size, BLOCK):
-                    x, y = own[i : i + BLOCK], own[j : j + BLOCK]
-                    a, b = np.nonzero(_compare(x[:, None], y[None, :]))
-                    a, b = a + i, b + j
-                    a, b = a[a < b], b[a < b]
-                    ok = self.first(own[a] ^ own[b], group[start])
-                    kept, parent = _forest(size, a[ok], b[ok], parent)
-                    if kept:
-                        pairs = np.array(kept)
-                        out_a.append(own[pairs[:, 0]])
-                        out_b.append(own[pairs[:, 1]])
-        if not out_a:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        large = sizes > SMALL_POSTING
+        for start, size in zip(edge[large].tolist(), sizes[large].tolist(), strict=True):
+            own = fp[start : start + size]
+            pairs = np.array(self.forest(own), dtype=np.int64).reshape(-1, 2)
+            emit(own[pairs[:, 0]], own[pairs[:, 1]], int(group[start]))
         return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def link_fingerprints(distinct: DataFrame, wide: bool | None = None) -> DataFrame:
-    """(a, b): links that connect every two fingerprints (column fp) within MAX_BITS, directly or over others."""
+#: A posting's number: packed bytes, then the group, then one more than the further position it was split by.
+GROUP_SHIFT, SPLIT_SHIFT = 32, 40
+
+
+def _byte(position: int):
+    return F.shiftrightunsigned(F.col("fp"), 8 * position).bitwiseAND(F.lit(255).cast("long"))
+
+
+def _key(number: int, group: tuple[int, ...], further: int | None = None):
+    packed = F.lit(0).cast("long")
+    for position in [*group, *([] if further is None else [further])]:
+        packed = F.shiftleft(packed, 8).bitwiseOR(_byte(position))
+    return packed.bitwiseOR(F.lit((number << GROUP_SHIFT) | ((0 if further is None else 1 + further) << SPLIT_SHIFT)).cast("long"))
+
+
+def postings(distinct: DataFrame, wide: bool, hot: int = HOT_POSTING) -> DataFrame:
+    """(fp, bucket): every fingerprint under the groups of its positional bytes.
+
+    A triple's posting with more than hot fingerprints is replaced by postings under the triple and each fourth position.
+    """
+    groups = position_groups(wide)
+    posted = distinct.select("fp", F.explode(F.array(*[_key(n, g) for n, g in enumerate(groups)])).alias("bucket"))
+    if wide:
+        return posted
+    large = materialize(posted.groupBy("bucket").count().where(F.col("count") > hot).select("bucket"))
+    if large.isEmpty():
+        return posted
+    large = small(large)
+    split = F.lit(None).cast("array<bigint>")
+    for n, g in enumerate(groups):
+        further = [_key(n, g, p) for p in range(BYTES) if p not in g]
+        split = F.when(F.shiftrightunsigned("bucket", GROUP_SHIFT) == n, F.array(*further)).otherwise(split)
+    again = posted.join(large, "bucket", "left_semi").select("fp", F.explode(split).alias("bucket"))
+    return posted.join(large, "bucket", "left_anti").select("fp", "bucket").unionByName(again)
+
+
+def _in_postings(distinct: DataFrame, wide: bool | None, hot: int, counts: bool) -> DataFrame:
     wide = distinct.count() > WIDE_FROM if wide is None else wide
     groups = position_groups(wide)
 
-    def key(number: int, group: tuple[int, ...]):
-        packed = F.lit(0).cast("long")
-        for position in group:
-            packed = F.shiftleft(packed, 8).bitwiseOR(F.shiftrightunsigned(F.col("fp"), 8 * position).bitwiseAND(F.lit(255).cast("long")))
-        return packed.bitwiseOR(F.lit(number << 32).cast("long"))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        postings = _Postings(groups)
+        index = _Postings(groups)
         bucket, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
 
         def found(b: np.ndarray, f: np.ndarray) -> Iterator[pd.DataFrame]:
             if len(b):
-                left, right = postings.links(b, f)
-                if len(left):
+                left, right = index.links(b, f)
+                if len(left) and not counts:
                     yield pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)})
 
         for batch in batches:
@@ -192,9 +257,42 @@ def link_fingerprints(distinct: DataFrame, wide: bool | None = None) -> DataFram
             yield from found(bucket[:ready], fp[:ready])
             bucket, fp = bucket[ready:], fp[ready:]
         yield from found(bucket, fp)
+        if counts:
+            yield pd.DataFrame({"met": [index.met], "reached": [index.reached], "linked": [index.linked]})
+
+    dealt = postings(distinct, wide, hot).repartition("bucket").sortWithinPartitions("bucket", "fp")
+    return dealt.mapInPandas(run, "met long, reached long, linked long" if counts else "a long, b long")
+
+
+def link_fingerprints(distinct: DataFrame, wide: bool | None = None, hot: int = HOT_POSTING) -> DataFrame:
+    """(a, b): links that connect every two fingerprints (column fp) within MAX_BITS, directly or over others."""
+    return _in_postings(distinct, wide, hot, counts=False)
+
+
+def posting_counts(distinct: DataFrame, wide: bool | None = None, hot: int = HOT_POSTING) -> DataFrame:
+    """One row: pairs that met in a posting and were tallied, that reached the guaranteed matches, that were verified."""
+    own = _in_postings(distinct, wide, hot, counts=True)
+    return own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in own.columns])
+
 
-    posted = distinct.select("fp", F.explode(F.array(*[key(n, g) for n, g in enumerate(groups)])).alias("bucket"))
-    return posted.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInPandas(run, "a long, b long")
+def _components(own: DataFrame) -> DataFrame:
+    """own(doc_id, fp) -> (fp, first_id, n_docs, root, component_id) of every distinct fingerprint, as a written table."""
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")))
+    nodes = components(link_fingerprints(distinct.select("fp")))
+    rooted = materialize(distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_docs", F.coalesce("root", "fp").alias("root")))
+    linked = rooted.join(nodes.select(F.col("root").alias("linked")).distinct(), F.col("root") == F.col("linked"), "left_semi")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    return materialize(rooted.join(least, "root", "left").select("fp", "first_id", "n_docs", "root", F.coalesce("least_id", "first_id").alias("component_id")))
+
+
+def _with(own: DataFrame, by_fp: DataFrame) -> DataFrame:
+    """own, each row with the columns of its fingerprint. by_fp has n_docs: fingerprints of very many rows are broadcast."""
+    side = small(by_fp)
+    if side is not by_fp:
+        return own.join(side, "fp", "left")
+    hot, cold = by_fp.where(F.col("n_docs") > HOT_COPIES), by_fp.where(F.col("n_docs") <= HOT_COPIES)
+    hot = small(hot)  # at most one for HOT_COPIES rows
+    return own.join(hot, "fp").unionByName(own.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp", "left"))
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -205,23 +303,39 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     (null if no document of the component has an id); an empty table gives no row; other columns are ignored.
     """
     own = materialize(fingerprints(docs, id_column=id_column, text_column=text_column))
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = components(link_fingerprints(distinct.select("fp")))
-    rooted = distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted)
-    linked = rooted.join(nodes.select(F.col("root").alias("linked")).distinct(), F.col("root") == F.col("linked"), "left_semi")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = rooted.join(least, "root", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Only what several documents share or a link connects is joined; another document is its own component.
+    named = _components(own).where((F.col("n_docs") > 1) | ~F.col("first_id").eqNullSafe(F.col("component_id")))
+    rows = _with(own, named.select("fp", "n_docs", "component_id"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("n_docs").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the documents that are near-duplicates of one with a smaller id; repeated rows of an id count as copies."""
-    found = materialize(near_duplicates(docs, id_column=id_column, text_column=text_column))
-    gone = small(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct())
-    kept = docs.join(gone, docs[id_column] == gone["gone_id"], "left_anti")
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
+    """docs, same columns, with one row of each component of near-duplicates.
+
+    The row of the smallest id stays (a null id after all others); of texts that share that id the one of the smallest
+    fingerprint and hash; of rows with equal id and text the one whose columns have the smallest hash. An id may have
+    texts in several components: each keeps its own row.
+    """
+    version = F.xxhash64(docs[text_column])
+    own = materialize(fingerprints(docs, id_column=id_column, text_column=text_column, versions=True))
+    by_fp = _components(own).select("fp", "n_docs", "root")
+    # Least row per fingerprint, then per component; fingerprints of one document that nothing links have nothing to lose.
+    rank = lambda: F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "fp", F.col("version").alias("v"))
+    per_fp = own.groupBy("fp").agg(F.min(rank()).alias("own_best")).join(by_fp, "fp")
+    per_root = per_fp.groupBy("root").agg(F.min("own_best").alias("best"), F.sum("n_docs").alias("n"))
+    shared = materialize(by_fp.join(per_root.where("n > 1"), "root").select("fp", "n_docs", "best"))
+    judged = _with(own, shared).where(F.col("best").isNotNull())
+    stays = F.col("best.id").eqNullSafe(F.col("doc_id")) & (F.col("best.v") == F.col("version"))
+    keys = materialize(judged.groupBy(F.col("doc_id").alias("key_id"), F.col("version").alias("key_version")).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")))
+    same = lambda side: docs[id_column].eqNullSafe(side["key_id"]) & (version == side["key_version"])
+    several = small(keys.where("stays and n > 1").select("key_id", "key_version"))
+    decided = small(keys.where("not stays or n > 1").select("key_id", "key_version"))
+    kept = docs.join(decided, same(decided), "left_anti")
+    if keys.where("stays and n > 1").isEmpty():
         return kept
-    named = kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column])
-    return named.unionByName(kept.where(F.col(id_column).isNull()))
+    names = docs.columns
+    again = docs.join(several, same(several), "left_semi").toDF(*[f"c{i}" for i in range(len(names))])
+    at_id, at_text = F.col(f"c{names.index(id_column)}"), F.col(f"c{names.index(text_column)}")
+    whole = F.struct(*again.columns)
+    one = again.groupBy(at_id.alias("key_id"), F.xxhash64(at_text).alias("key_version")).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return kept.union(one.select("row.*").toDF(*names))

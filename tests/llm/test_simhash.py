@@ -76,19 +76,74 @@ def test_links_of_hot_and_random_fingerprints(spark):
         near.add(x)
     values = sorted(near | {int(v) for v in rng.integers(0, 1 << 63, 400)})
     want = brute_components(dict(enumerate(values)))
-    for wide in (False, True):
-        df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
-        links = simhash.link_fingerprints(df, wide)
+    df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
+    for wide, hot in ((False, simhash.HOT_POSTING), (False, 20), (True, simhash.HOT_POSTING)):
+        links = simhash.link_fingerprints(df, wide, hot)
         assert links.count() < 20 * len(values)
-        roots = {r.node: r.root for r in components(links).collect()}
-        place = {int(np.uint64(v).view(np.int64)): i for i, v in enumerate(values)}
-        groups = {}
-        for v, i in place.items():
-            groups.setdefault(roots.get(v, v), set()).add(i)
-        expected = {}
-        for i, c in want.items():
-            expected.setdefault(c, set()).add(i)
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+        assert groups_of(links, values) == sorted(grouped(want))
+        counts = simhash.posting_counts(df, wide, hot).first()
+        assert counts.met >= counts.reached > counts.linked > 0
+        assert wide or counts.met > counts.reached  # the tally drops pairs that agree in three positions alone
+
+
+def grouped(component_of):
+    found = {}
+    for i, c in component_of.items():
+        found.setdefault(c, []).append(i)
+    return [sorted(g) for g in found.values()]
+
+
+def groups_of(links, values):
+    roots = {r.node: r.root for r in components(links).collect()}
+    signed = [int(np.uint64(v).view(np.int64)) for v in values]
+    return sorted(grouped({i: roots.get(v, v) for i, v in enumerate(signed)}))
+
+
+def test_a_posting_of_twenty_thousand_fingerprints(spark):
+    rng = np.random.default_rng(9)
+    shared = np.uint64(0xABCDEF0000000000)
+    clusters = [rng.integers(0, 1 << 40, 1, dtype=np.uint64)[0] for _ in range(40)]
+    values = set(int(v) for v in rng.integers(0, 1 << 40, 4000, dtype=np.uint64))
+    while len(values) < 20_000:
+        x = int(clusters[rng.integers(0, 40) if rng.random() < 0.3 else 0])
+        for b in rng.choice(40, rng.integers(0, 7), replace=False):
+            x ^= 1 << int(b)
+        values.add(x)
+    values = sorted(int(shared) | v for v in values)
+    fp = np.array(values, dtype=np.uint64)
+    parent = list(range(len(fp)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(len(fp)):
+        for j in (i + 1 + np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 4)).tolist():
+            p, q = find(i), find(j)
+            parent[max(p, q)] = min(p, q)
+    want = sorted(grouped({i: find(i) for i in range(len(fp))}))
+    assert 2 < len(want) < 20_000
+    df = spark.createDataFrame([(int(v),) for v in fp.view(np.int64)], "fp long")
+    for hot in (simhash.HOT_POSTING, 1 << 20):
+        links = simhash.link_fingerprints(df, False, hot)
+        assert groups_of(links, values) == want
+    assert simhash.postings(df, False).groupBy("bucket").count().agg({"count": "max"}).first()[0] < 20_000
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta iota", "one two three four five six seven eight nine"
+    docs = spark.createDataFrame(
+        [(1, a, "x"), (1, b, "y"), (2, a, "x"), (3, b, "z"), (None, a, "n"), (None, "quite another text that has no copy", "n"), (4, "a text alone", "k"), (4, "a text alone", "j"), (4, "a text alone", "j")],
+        "doc_id long, text string, key_id string",
+    )
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = [tuple(r) for r in kept.collect()]
+    assert sorted((r[0] or 0, r[1]) for r in rows) == [(0, "quite another text that has no copy"), (1, a), (1, b), (4, "a text alone")]
+    again = simhash.keep_one(docs.repartition(3)).collect()
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in again)
 
 
 def test_components_of_a_long_chain_and_empty(spark):
