@@ -2,8 +2,10 @@
 
 The generators propose overlapping spans of further formats (national phone numbers, social security numbers, IBANs,
 masked e-mail addresses, dates of birth). Each candidate has features of its format (length, digits, checksum) and its
-context (cue words before it, digits around it). The trees of pii_model.json are evaluated as column expressions; a
-candidate is redacted if its score reaches its kind's calibrated threshold and no better overlapping candidate does.
+context: cue words before it, read past other words with digits, so that the cue of a list counts for all its entries,
+and whether personal data of any format stands beside it. The trees of pii_model.json are evaluated as column
+expressions; a candidate is redacted if its score reaches its kind's calibrated threshold and no better overlapping
+candidate does.
 """
 
 from __future__ import annotations
@@ -33,13 +35,21 @@ GENERATORS = {
     "email_masked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,63}){1,6}",
     "birth": r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])",
 }
-BEFORE, AFTER = 32, 12
+#: Code points of the context that are read, and those that cue words are looked for in once words with digits are out.
+CONTEXT, BEFORE, NEAR = 160, 32, 16
 # Whole words: "part" is not in "department".
 CUES = r"(?i)(?<![A-Za-z])(?:(?:tele|cell)?phones?|tel|call(?:s|ed)?|mobile|fax|ssn|social|ibans?|accounts?|(?:e-?)?mails?|contacts?|write to|born|birth(?:day|date)?|dob)(?![A-Za-z])"
 NEGATIVE_CUES = r"(?i)(?<![A-Za-z])(?:orders?|invoices?|parts?|versions?|isbn|sku|ref(?:erence)?|serial|builds?|tickets?|models?)(?![A-Za-z])"
 #: How a masked address ends: a masked dot, or a top-level domain.
 MASKED_END = r"(?i)(?:[(\[]dot[)\]]\x20?[a-z]{2,}|\.\x20?(?:com|org|net|edu|gov|info|[a-z]{2}))$"
-FEATURES = [*EXTRA_KINDS, "length", "digits", "distinct_digits", "separators", "valid", "cue", "negative_cue", "digits_before", "digits_after"]
+#: Words with a digit, and the marks between the entries of a list.
+WITH_DIGITS = r"[^\x20\n]*[0-9][^\x20\n]*|(?<=\x20)[,;|/.-]+(?=\x20)|(?<=\x20)(?:or|and|und|et|y)(?=\x20)"
+#: Personal data beside a candidate, on either side.
+ALIKE_BEFORE = r"(?:[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{10,}|@[A-Za-z0-9.-]+|[0-9]{4}-[0-9]{2}-[0-9]{2})[^0-9A-Za-z]{1,6}(?:(?:or|and)\x20)?$"
+ALIKE_AFTER = r"^[^0-9A-Za-z]{1,6}(?:(?:or|and)\x20)?(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{10,}|[A-Za-z0-9._-]+@|[0-9]{4}-[0-9]{2}-[0-9]{2})"
+FEATURES = [*EXTRA_KINDS, "length", "digits", "distinct_digits", "separators", "valid", "cue", "negative_cue", "cue_near", "alike_before", "alike_after"]
+#: Generators' spans within this distance may overlap: the longest one, and starts that lie 8 code points apart a kind.
+NEIGHBOURS = 5 * (553 // 8 + 1)
 
 
 def mod97(text: str) -> int:
@@ -106,13 +116,20 @@ def _valid(kind: Column, text: Column, digits: Column) -> Column:
 
 def feature_columns(span: Column, text: Column) -> Column:
     """A struct of FEATURES as doubles."""
-    at = F.greatest(span["start"] - BEFORE, F.lit(0))
-    before, after = F.substring(text, at + 1, span["start"] - at), F.substring(text, span["end"] + 1, F.lit(AFTER))
+    at = F.greatest(span["start"] - CONTEXT, F.lit(0))
+    before, after = F.substring(text, at + 1, span["start"] - at), F.substring(text, span["end"] + 1, F.lit(CONTEXT))
     digits = _digits(span["text"])
-    values = [span["kind"] == k for k in EXTRA_KINDS]
-    values += [F.length(span["text"]), F.length(digits), F.size(F.array_distinct(F.filter(F.split(digits, ""), lambda c: c != ""))), F.length(F.regexp_replace(span["text"], "[A-Za-z0-9]", ""))]
-    values += [_valid(span["kind"], span["text"], digits), before.rlike(CUES), before.rlike(NEGATIVE_CUES), F.length(_digits(before)), F.length(_digits(after))]
-    return F.struct(*[v.cast("double").alias(n) for n, v in zip(FEATURES, values, strict=True)])
+    plain = F.regexp_replace(F.regexp_replace(before, WITH_DIGITS, ""), r"\x20+", " ")
+
+    def of(c: Column) -> Column:
+        values = [span["kind"] == k for k in EXTRA_KINDS]
+        values += [F.length(span["text"]), F.length(digits), F.size(F.array_distinct(F.filter(F.split(digits, ""), lambda d: d != ""))), F.length(F.regexp_replace(span["text"], "[A-Za-z0-9]", ""))]
+        words = F.right(c["plain"], F.lit(BEFORE))
+        values += [_valid(span["kind"], span["text"], digits), words.rlike(CUES), words.rlike(NEGATIVE_CUES), F.right(c["plain"], F.lit(NEAR)).rlike(CUES)]
+        values += [c["before"].rlike(ALIKE_BEFORE), c["after"].rlike(ALIKE_AFTER)]
+        return F.struct(*[v.cast("double").alias(n) for n, v in zip(FEATURES, values, strict=True)])
+
+    return bind(F.struct(plain.alias("plain"), before.alias("before"), after.alias("after")), of)
 
 
 def _tree(node, features: Column) -> Column:
@@ -141,10 +158,14 @@ def extra_spans(text: Column, base: Column) -> Column:
     def better(x: Column, y: Column) -> Column:
         return S.overlap(x, y) & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["rank"] < x["rank"])))
 
+    def undisputed(ordered: Column) -> Column:
+        # In order of start only neighbours can overlap, as a generator's spans are bounded and don't overlap each other.
+        nearby = lambda i: F.slice(ordered, F.greatest(i - NEIGHBOURS, F.lit(0)) + 1, F.lit(2 * NEIGHBOURS + 1))
+        return F.filter(ordered, lambda x, i: ~F.exists(nearby(i), lambda y: better(x, y)))
+
     def choose(proposed: Column) -> Column:
-        free = F.filter(proposed, lambda s: ~F.exists(base, lambda b: S.overlap(s, b)))
-        scored = F.transform(free, lambda s: s.withField("score", bind(feature_columns(s, text), score)))
-        chosen = bind(F.filter(scored, reached), lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: better(x, y))))
+        scored = F.transform(S.outside(proposed, base), lambda s: s.withField("score", bind(feature_columns(s, text), score)))
+        chosen = bind(S.by_start(F.filter(scored, reached)), undisputed)
         plain = F.transform(chosen, lambda s: F.struct(*[s[n].alias(n) for n in ("kind", "rank", "start", "end", "text", "group")]))
         return F.when(F.size(proposed) > 0, plain).otherwise(S.no_spans())
 

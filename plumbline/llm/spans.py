@@ -63,6 +63,49 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(by_start(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _running_max(values: Column) -> Column:
+    """Greatest value up to each place of a non-empty list, in blocks of the square root of its length."""
+    most = lambda x: F.aggregate(x, F.lit(-1), lambda a, v: F.greatest(a, v))
+
+    def within(s: Column) -> Column:
+        def rows(blocks: Column) -> Column:
+            def row(v: Column, i: Column) -> Column:
+                block = F.floor(i / s["width"]).cast("int")
+                return F.greatest(most(F.slice(blocks, F.lit(1), block)), most(F.slice(s["v"], block * s["width"] + 1, i - block * s["width"] + 1)))
+
+            return F.transform(s["v"], row)
+
+        last = F.floor((F.size(s["v"]) - 1) / s["width"]).cast("int")
+        return bind(F.transform(F.sequence(F.lit(0), last), lambda b: most(F.slice(s["v"], b * s["width"] + 1, s["width"]))), rows)
+
+    return bind(values, lambda v: bind(F.struct(v.alias("v"), F.ceil(F.sqrt(F.size(v))).cast("int").alias("width")), within))
+
+
+def outside(found: Column, base: Column) -> Column:
+    """Spans of found that overlap none of base, by start. In order of start, a span is free if what of base starts before
+    it ends by its start, and what of base starts after it starts from its end on; both are running extremes."""
+    far = 2**31 - 2
+
+    def free(x: Column) -> Column:
+        ends = F.transform(x, lambda s: F.when(s["base"], s["span"]["end"]).otherwise(-1))
+        # Read from the end, the greatest distance to a far point is the least start.
+        starts = F.transform(F.reverse(x), lambda s: F.when(s["base"], far - s["span"]["start"]).otherwise(-1))
+        near = F.struct(_running_max(ends).alias("reach"), F.reverse(_running_max(starts)).alias("next"))
+
+        def chosen(n: Column) -> Column:
+            ok = lambda s, i: ~s["base"] & (F.get(n["reach"], i) <= s["span"]["start"]) & (far - F.get(n["next"], i) >= s["span"]["end"])
+            return F.transform(F.filter(x, ok), lambda s: s["span"])
+
+        return bind(near, chosen)
+
+    def ordered(c: Column) -> Column:
+        keyed = lambda spans, of_base: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(not of_base).alias("late"), s.alias("span"), F.lit(of_base).alias("base")))
+        return F.sort_array(F.concat(keyed(c["base"], True), keyed(c["found"], False)))
+
+    both = F.struct(found.alias("found"), base.alias("base"))
+    return bind(both, lambda c: F.when((F.size(c["found"]) > 0) & (F.size(c["base"]) > 0), bind(ordered(c), free)).otherwise(c["found"]))
+
+
 def overlap(x: Column, y: Column) -> Column:
     return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
