@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and has at most this many rows (of a few dozen bytes each).
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only if it was measured and has at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one is set, in local mode alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,9 +36,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay within the limit, else df as it is (Spark then shuffles both sides)."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row: its numbers, texts and lists."""
+    total = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+        elif kind == "array<string>":
+            total = total + F.coalesce(F.aggregate(F.col(name), F.lit(0), lambda a, x: a + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+        elif kind.startswith("array"):
+            total = total + 16 * F.greatest(F.size(name), F.lit(0))
+    return total.cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its measured rows and bytes stay within the limits, else df as it is (both sides are shuffled)."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_bytes(df)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["b"] <= size else df
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

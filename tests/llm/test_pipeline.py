@@ -6,7 +6,7 @@ from . import brute
 from .test_packing import check
 from .test_simhash import brute_components, brute_fingerprint
 from .test_text_rules import brute_kept
-from .test_winnow import brute as brute_contamination
+from .test_winnow import removed
 
 
 def test_stages_equal_a_brute_force_pipeline(spark, sf):
@@ -15,7 +15,7 @@ def test_stages_equal_a_brute_force_pipeline(spark, sf):
     good = {i for i, r in docs.items() if brute_kept(r.text, r.lang)}
     roots = brute_components({i: brute_fingerprint(docs[i].text) for i in good})
     single = {i for i in good if roots[i] == i}
-    clean = {i for i in single if not brute_contamination(docs[i].text, items)[4]}
+    clean = {i for i in single if not removed(docs[i].text, items)}
     assert len(docs) > len(good) > len(single) >= len(clean) > 0
     found = spark.read.parquet(f"{sf}/documents.parquet")
     columns = found.columns

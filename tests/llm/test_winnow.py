@@ -53,7 +53,29 @@ def test_equals_brute_force(spark):
     for r in rows:
         assert tuple(r)[1:] == want[r.doc_id], (r, want[r.doc_id], dict(docs)[r.doc_id][:200])
     kept = {r.doc_id for r in winnow.clean(d, b).collect()}
-    assert kept == {i for i, _ in docs if not want[i][4]}
+    assert kept == {i for i, t in docs if not removed(t, items)}
+
+
+def removed(text, items):
+    """Whether clean() takes a text out: a whole window of an item, or words of shorter items that make up a twentieth."""
+    items = [x for x in items if x[0] is not None]
+    return brute(text, [x for x in items if len(tokens(x[1])) >= winnow.WINDOW_WORDS])[1] > 0 or brute(text, items)[4]
+
+
+def test_a_passage_in_a_long_text_is_removed_and_a_short_phrase_is_not(spark):
+    item, phrase = " ".join(f"w{i}" for i in range(20)), "as you like it"
+    b = spark.createDataFrame([(1, item), (2, phrase)], "item_id long, text string")
+    filler = " ".join(f"x{i}" for i in range(3000))
+    texts = {1: f"{filler} {item} {filler}", 2: f"{filler} {phrase} {filler}", 3: f"{phrase} or not", 4: filler}
+    d = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(1, "another text of the same id")], "doc_id long, text string")
+    assert sorted((r.doc_id, len(r.text) < 100) for r in winnow.clean(d, b).collect()) == [(1, True), (2, False), (4, False)]
+
+
+def test_texts_that_repeat_themselves_stay_linear(spark):
+    b = spark.createDataFrame([(1, "same " * 4000), (2, "one two three " * 1500)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "same " * 4000), (2, "one two three " * 2000), (3, "same " * 12)], "doc_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in winnow.digest(winnow.contamination(d, b)).collect()}
+    assert found == {1: (4000, 4000, 1), 2: (6000, 6000, 1), 3: (12, 0, 0)}
 
 
 def test_empty(spark):
