@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind
+from .common import bind, small
 
 #: How a turn is rendered: HEAD, its role, NECK, its text, TAIL.
 HEAD, NECK, TAIL = "<|", "|>\n", "<|end|>\n"
@@ -13,9 +13,26 @@ HEAD, NECK, TAIL = "<|", "|>\n", "<|end|>\n"
 LEARNED = "assistant"
 
 
-def pair_neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs of a plain table of conversations: an even conv_id is chosen, the next odd one rejected."""
-    return turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
+def pair_replies(turns: DataFrame) -> DataFrame:
+    """Pairs of a plain table of conversations (conv_id, turn, role, text), one a conversation, with pair_id its conv_id.
+
+    chosen is the conversation. rejected has the same turns before its last learned one, then the last learned text of the
+    neighbour (2 k and 2 k + 1 are neighbours) in its place. A conversation without a learned turn is kept whole, with the
+    neighbour's reply after it; a neighbour without one, or that isn't there, gives no reply. Of learned turns with the
+    same number the greatest text is the last; turns without a number come first; rows with a null conv_id form no pair.
+    """
+    own = turns.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text").where(F.col("pair_id").isNotNull())
+    learned = F.when(F.col("role") == LEARNED, F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))
+    ends = own.groupBy("pair_id").agg(F.max(learned).alias("reply"), F.max("turn").alias("end"))
+    ends = ends.select("pair_id", F.col("reply.turn").alias("cut"), F.col("reply.text").alias("reply"), F.coalesce("end", F.lit(-1)).alias("end"))
+    chosen = own.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
+    cut = small(ends.select("pair_id", "cut"))
+    before = own.join(cut, "pair_id").where(F.col("cut").isNull() | F.col("turn").isNull() | (F.col("turn") < F.col("cut")))
+    before = before.select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
+    theirs = ends.where(F.col("reply").isNotNull()).select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("reply").alias("text"))
+    places = ends.select("pair_id", F.coalesce("cut", F.col("end") + 1).alias("turn"))
+    reply = places.join(theirs, "pair_id").select("pair_id", F.lit("rejected").alias("side"), "turn", F.lit(LEARNED).alias("role"), "text")
+    return chosen.unionByName(before).unionByName(reply)
 
 
 def _heading(t: Column) -> Column:
@@ -70,12 +87,23 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     )
 
 
-#: The same in SQL, over the pairs of pair_neighbours.
+#: The same in SQL, over the pairs of pair_replies.
 SQL = """
-WITH own AS (
-  SELECT DISTINCT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
-         coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+replies AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text FROM turns WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) = 1),
+ends AS (
+  SELECT conv_id, coalesce(max(turn), -1) AS fin FROM turns GROUP BY conv_id),
+sides AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM turns
+  UNION ALL
+  SELECT t.conv_id, 'rejected', t.turn, t.role, t.text FROM turns t LEFT JOIN replies l USING (conv_id) WHERE l.turn IS NULL OR t.turn IS NULL OR t.turn < l.turn
+  UNION ALL
+  SELECT e.conv_id, 'rejected', coalesce(l.turn, e.fin + 1), 'assistant', n.text FROM ends e LEFT JOIN replies l USING (conv_id) JOIN replies n ON n.conv_id = xor(e.conv_id, 1)),
+own AS (
+  SELECT DISTINCT pair_id, side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS k,
          '<|' || role || '|>' || chr(10) AS heading

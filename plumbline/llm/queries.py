@@ -23,7 +23,7 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_preferences(preference.pair_neighbours(table(spark, sf_dir, "conversations")))
+    return preference.format_preferences(preference.pair_replies(table(spark, sf_dir, "conversations")))
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,12 +122,54 @@ def test_preferences_equal_brute_force(spark):
     assert preference.format_preferences(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001"])
-def test_preference_sql(spark, folder):
+def conversations():
+    rng = random.Random(8)
+    out = []
+    for conv in range(60):
+        for turn in range(rng.randint(1, 7)):
+            out.append((conv, rng.choice([turn, turn, None]) if conv % 10 == 9 else turn, rng.choice(["user", "assistant", "assistant", "system", None]), rng.choice(["yes", "no é😀", None, "go on"])))
+    return [*out, (None, 0, "assistant", "lost"), (200, 0, "user", "alone"), (201, 0, "assistant", "b"), (201, 0, "assistant", "a"), *out[:9]]
+
+
+def brute_pairs(turns):
+    own = {}
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            own.setdefault(conv, []).append((turn, role, text))
+    last = {c: max(((t is not None, t or 0, x or "") for t, r, x in ts if r == "assistant"), default=None) for c, ts in own.items()}
+    out = []
+    for conv, ts in own.items():
+        out += [(conv, "chosen", *t) for t in ts]
+        cut = last[conv][1] if last[conv] and last[conv][0] else None
+        out += [(conv, "rejected", *t) for t in ts if cut is None or t[0] is None or t[0] < cut]
+        theirs = last.get(conv ^ 1)
+        if theirs:
+            place = cut if cut is not None else max((t[0] for t in ts if t[0] is not None), default=-1) + 1
+            out.append((conv, "rejected", place, "assistant", theirs[2]))
+    return out
+
+
+def test_pairs_share_what_comes_before_the_reply(spark):
+    turns = conversations()
+    df = spark.createDataFrame([(*t, 5) for t in turns], "conv_id long, turn long, role string, text string, pair_id int")
+    rows = preference.format_preferences(preference.pair_replies(df)).collect()
+    want = brute_preference(brute_pairs(turns))
+    assert {r.pair_id: tuple(r)[1:] for r in rows} == want
+    assert sum(r.n_common > 0 for r in rows) > len(rows) / 2
+    assert preference.pair_replies(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("made_up", [False, True])
+def test_preference_sql(spark, sf, made_up, tmp_path):
     import duckdb
 
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    if made_up:
+        spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/c")
+        table = spark.read.parquet(f"{tmp_path}/c")
     connection = duckdb.connect()
-    connection.sql(f"create view conversations as from '{folder}/conversations.parquet'")
+    connection.sql(f"create view conversations as from '{tmp_path}/c/*.parquet'" if made_up else f"create view conversations as from '{sf}/conversations.parquet'")
     want = sorted(connection.sql(preference.SQL).fetchall())
-    got = preference.format_preferences(preference.pair_neighbours(spark.read.parquet(f"{folder}/conversations.parquet"))).collect()
+    got = preference.format_preferences(preference.pair_replies(table)).collect()
     assert sorted(tuple(r) for r in got) == want
+    assert sum(r.n_common > 0 for r in got) > len(got) / 2
