@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, require
-from .tokens import Encoder
+from .tokens import shared_encoder
 
 #: Lengths of a block of the two-level sums.
 BLOCK = 1024
@@ -20,7 +20,7 @@ def encoded_lengths(docs: DataFrame, *, vocabulary: str | None = None, extra: in
     """doc_id, n_tokens: the whole text's ids plus extra (the end-of-document id). Null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             sizes: list[int] = []
@@ -62,5 +62,13 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
-    """One row: tokens left if each document is cut at limit."""
-    return histogram.agg(F.coalesce(F.sum(F.least(F.col("length"), F.lit(limit)) * F.col("n_docs")), F.lit(0)).alias("truncated_total"))
+    """One row: tokens left if each document is cut at limit, from the suffix sums of the first length above it."""
+    above = histogram.where(F.col("length") > limit).orderBy("length").limit(1)
+    kept = above.select((F.col("total_tokens") - F.col("tokens_at_least") + limit * F.col("docs_at_least")).alias("kept"))
+    everything = histogram.select(F.col("total_tokens").alias("kept")).limit(1)
+    return kept.unionByName(everything).agg(F.coalesce(F.min("kept"), F.lit(0)).alias("truncated_total"))
+
+
+def quantile(histogram: DataFrame, q: float) -> DataFrame:
+    """One row at most: the least length that q of the documents don't exceed (no row without documents)."""
+    return histogram.where(F.col("rank_high") >= F.greatest(F.ceil(q * F.col("total_docs")), F.lit(1))).agg(F.min("length").alias("length")).where("length is not null")

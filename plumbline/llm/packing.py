@@ -2,8 +2,10 @@
 
 Every example is a vector (tokens, one segment, loss-bearing tokens). A sequence has a limit for each of the three. An
 open sequence takes, again and again, the waiting piece with the largest dot product of its vector and the sequence's
-remaining room (both relative to the limits) among those that fit. Full-length pieces of long documents fill sequences
-of their own. Where no waiting piece fits and room for tokens is left, a piece is cut to fill it exactly.
+remaining room (both relative to the limits) among those that fit. A document's prompt, its first line if others follow,
+else its first token, bears no loss. Where no waiting piece fits and room for tokens is left, it is filled with the
+start of a piece: of one with a long enough prompt where the sequence bears all the loss it may. What can't be filled
+is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require
-from .tokens import END_OF_DOCUMENT, Encoder
+from .tokens import END_OF_DOCUMENT, shared_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
+#: Limits of a sequence of 2,048 tokens: 32 documents, and loss on at most 15 of 16 tokens.
+MAX_SEGMENTS, MAX_LOSS = 32, 1920
 #: Pieces waiting in a task at once: bounds its memory and the work of a choice.
 WINDOW = 1024
 
@@ -30,17 +34,21 @@ class Piece:
     start: int
     ids: bytes
     doc_tokens: int
+    #: Tokens at the piece's start that bear no loss.
+    prompt: int
 
     @property
     def length(self) -> int:
         return len(self.ids) // 4
 
     def loss(self) -> int:
-        """Tokens that are predicted: a document's first token has no context."""
-        return self.length - (self.start == 0)
+        return self.length - self.prompt
 
     def cut(self, tokens: int) -> tuple[Piece, Piece]:
-        return (Piece(self.doc_id, self.start, self.ids[: 4 * tokens], self.doc_tokens), Piece(self.doc_id, self.start + tokens, self.ids[4 * tokens :], self.doc_tokens))
+        return (
+            Piece(self.doc_id, self.start, self.ids[: 4 * tokens], self.doc_tokens, min(self.prompt, tokens)),
+            Piece(self.doc_id, self.start + tokens, self.ids[4 * tokens :], self.doc_tokens, max(self.prompt - tokens, 0)),
+        )
 
 
 @dataclass
@@ -61,55 +69,70 @@ class Packer:
             offset += p.length
         self.first += 1
 
-    def add(self, doc_id: object, ids: bytes) -> None:
-        piece = Piece(doc_id, 0, ids, len(ids) // 4)
-        whole = min(self.max_tokens, self.max_loss)
-        while piece.length >= whole:
-            full, piece = piece.cut(whole)
-            self.emit([full])
+    def add(self, doc_id: object, ids: bytes, prompt: int = 1) -> None:
+        """A document's ids, of which the first prompt ones (one at least) bear no loss."""
+        size = len(ids) // 4
+        piece = Piece(doc_id, 0, ids, size, min(max(prompt, 1), size))
+        while piece.length > self.max_tokens or piece.loss() > self.max_loss:
+            part, piece = piece.cut(min(self.max_tokens, self.max_loss + piece.prompt))
+            self.take(part)
         if piece.length:
-            self.waiting.append(piece)
+            self.take(piece)
         if len(self.waiting) >= 2 * WINDOW:
             self.pack(WINDOW)
 
+    def take(self, piece: Piece) -> None:
+        if piece.length == self.max_tokens:
+            self.emit([piece])
+        else:
+            self.waiting.append(piece)
+
     def pack(self, keep: int) -> None:
-        """Close full sequences until at most keep pieces wait (0: all, the last sequence as powers of two)."""
+        """Close sequences until at most keep pieces wait (0: all)."""
         n = len(self.waiting)
         if not n:
             return
-        limits = np.array([self.max_tokens, self.max_segments, self.max_loss], dtype=float)
-        size = np.array([[p.length, 1, p.loss()] for p in self.waiting], dtype=float) / limits
-        free, left = np.ones(n, dtype=bool), n
-        pieces = self.waiting
+        pieces, left = self.waiting, n
+        free = np.ones(n, dtype=bool)
+        tokens = np.array([p.length for p in pieces], dtype=float)  # infinite once a piece is placed, so that it fits nowhere
+        loss = np.array([p.loss() for p in pieces], dtype=float)
+        prompts = np.array([p.prompt for p in pieces], dtype=float)
         while left > keep:
             chosen: list[Piece] = []
-            room = np.ones(3)
-            while left:
-                fits = free & (size <= room + 1e-12).all(axis=1)
-                if not fits.any():
+            gap, loss_room = self.max_tokens, self.max_loss
+
+            def put(k: int, piece: Piece, rest: Piece | None) -> None:
+                nonlocal gap, loss_room, left
+                chosen.append(piece)
+                gap, loss_room = gap - piece.length, loss_room - piece.loss()
+                if rest is not None and rest.length:
+                    pieces[k], tokens[k], loss[k], prompts[k] = rest, rest.length, rest.loss(), rest.prompt
+                else:
+                    free[k], tokens[k], left = False, np.inf, left - 1
+
+            while left and len(chosen) < self.max_segments:
+                # Every piece is one segment, so that part of the dot product is the same for all.
+                fits = np.flatnonzero((tokens <= gap) & (loss <= loss_room))
+                if not len(fits):
                     break
-                score = np.where(fits, size @ room, -1.0)
-                k = int(score.argmax())
-                chosen.append(pieces[k])
-                room = room - size[k]
-                free[k], left = False, left - 1
-            gap = self.max_tokens - sum(p.length for p in chosen)
-            gap = min(gap, self.max_loss - sum(p.loss() for p in chosen)) if len(chosen) < self.max_segments else 0
-            if gap > 0 and left:
-                k = int(np.where(free, size[:, 0], -1.0).argmax())
-                head, tail = pieces[k].cut(gap)
-                chosen.append(head)
-                pieces[k] = tail
-                size[k] = np.array([tail.length, 1, tail.loss()]) / limits
-                gap = 0
-            if gap > 0 and not left and not keep:
+                score = tokens[fits] * (gap / self.max_tokens**2) + loss[fits] * (loss_room / self.max_loss**2)
+                put(k := int(fits[score.argmax()]), pieces[k], None)
+            while gap and left and len(chosen) < self.max_segments:
+                # The start of a piece, as long as its prompt and the room for loss allow; of equal ones the longest piece.
+                usable = np.where(free, np.minimum(gap, prompts + loss_room) + np.minimum(tokens, 2 * self.max_tokens) / (4 * self.max_tokens), -1.0)
+                k = int(usable.argmax())
+                size = min(gap, pieces[k].prompt + loss_room, pieces[k].length)
+                if size <= 0:
+                    break
+                put(k, *pieces[k].cut(size))
+            if gap:
                 self.tail(chosen)
             else:
                 self.emit(chosen)
         self.waiting = [p for p, f in zip(pieces, free, strict=True) if f]
 
     def tail(self, pieces: list[Piece]) -> None:
-        """The last, partly filled sequence is cut into lengths that are powers of two, which need no padding."""
+        """A partly filled sequence is cut into lengths that are powers of two, which need no padding."""
         rest, total = list(pieces), sum(p.length for p in pieces)
         while total:
             room = 1 << (total.bit_length() - 1)
@@ -126,20 +149,22 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, *, vocabulary: str | None = None, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, *, vocabulary: str | None = None, max_tokens: int = 2048, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """Pieces of all documents with the sequence and offset they were packed to.
 
     Each task packs the documents of its partition as they stream by, so nothing is shuffled and memory holds a window
     of pieces; a task that is run again gives the same pieces. Null and empty texts give the end-of-document id alone;
-    repeated rows are packed each; an empty table gives no row; other columns are ignored.
+    repeated rows are packed each; an empty table gives no row; other columns are ignored. Padding is nowhere needed: a
+    sequence is full or holds a power of two. With max_loss below max_tokens a full one needs prompts in its task; else
+    more of the sequences are the powers of two.
     ids holds little-endian unsigned 32-bit ids, loss_tokens the piece's predicted tokens.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         end = np.asarray([END_OF_DOCUMENT], dtype="<u4").tobytes()
         packer = Packer((TaskContext.get().partitionId()) << 36, max_tokens, max_segments, max_loss)
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -152,8 +177,11 @@ def pack_documents(
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), [t if isinstance(t, str) else None for t in batch["text"]]
             for at in range(0, len(ids), 256):
-                for doc_id, data in zip(ids[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
-                    packer.add(None if doc_id is None or doc_id != doc_id else int(doc_id), data + end)
+                # No token spans a line's end, so a text's ids are those of its first line, then those of the others.
+                lines = [t.partition("\n") if t else ("", "", "") for t in texts[at : at + 256]]
+                heads, others = encoder.encode([x[0] for x in lines]), encoder.encode([x[2] for x in lines])
+                for doc_id, head, rest in zip(ids[at : at + 256], heads, others, strict=True):
+                    packer.add(None if doc_id is None or doc_id != doc_id else int(doc_id), head + rest + end, len(head) // 4 if rest else 1)
                 yield from out()
         packer.pack(0)
         yield from out()
@@ -163,4 +191,11 @@ def pack_documents(
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+def closing_limits(pieces: DataFrame, max_tokens: int = 2048, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS) -> DataFrame:
+    """One row: sequences, and how many of them have reached each limit."""
+    own = pieces.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum("loss_tokens").alias("loss"))
+    reached = {"tokens": max_tokens, "segments": max_segments, "loss": max_loss}
+    return own.agg(F.count(F.lit(1)).alias("sequences"), *[F.coalesce(F.sum((F.col(c) >= v).cast("long")), F.lit(0)).alias(f"at_{c}") for c, v in reached.items()])

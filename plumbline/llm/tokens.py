@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+import types
 import unicodedata
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,6 +22,8 @@ END_OF_DOCUMENT = 1
 CACHE_ENTRIES = 500_000
 #: Longer words aren't kept.
 CACHE_BYTES = 64
+#: Marks that often end a word.
+STOPS = b".,;:!?"
 #: No UTF-8 text holds this byte; it stands for the end of a word in the merged pieces.
 WORD_END = b"\xff"
 
@@ -84,6 +88,9 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
+        if word[-1] in STOPS and word[-2:-1].isalnum() and len(word) <= CACHE_BYTES:
+            # A mark right after a letter or digit is a pre-token of its own.
+            return self._cached(word[:-1]) + self._cached(word[-1:])
         text = word.decode()
         if self.merge is None or self.odd(text):
             return self._exact(text)
@@ -92,6 +99,12 @@ class Encoder:
             ids += self.merge(piece.encode() + WORD_END)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _cached(self, word: bytes) -> bytes:
+        found = self.cache.get(word)
+        if found is None:
+            found = self.cache[word] = self._word(word)
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
@@ -102,10 +115,21 @@ class Encoder:
             if len(cache) > CACHE_ENTRIES:
                 cache = self.cache = {}
             words = (text.lower() if text.isascii() else text).encode("utf-8", "replace").split()
-            for word in set(words):
+            fresh = [w for w in set(words) if w not in cache]
+            for word in fresh:
                 if word not in cache:
                     cache[word] = self._word(word)
             out.append(b"".join(map(cache.__getitem__, words)))
-            for word in [w for w in set(words) if len(w) > CACHE_BYTES]:
-                del cache[word]
+            for word in fresh:
+                if len(word) > CACHE_BYTES:
+                    del cache[word]
         return out
+
+
+def shared_encoder(vocabulary: str | None = None) -> Encoder:
+    """The encoder of this process: a worker's tasks share its vocabulary and its bounded cache."""
+    kept = sys.modules.setdefault("_plumbline_encoders", types.ModuleType("_plumbline_encoders")).__dict__
+    path = vocabulary or default_vocabulary()
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
