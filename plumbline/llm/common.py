@@ -55,6 +55,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if found["n"] <= rows and found["b"] <= size else df
 
 
+def join_counted(rows: DataFrame, side: DataFrame, key: str, count: str, hot: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with side, which has one row per key and the number of rows of that key.
+
+    A small side is broadcast. Else keys of more than hot rows, of which there is at most one in hot rows, are broadcast
+    and the others shuffled, so no task gathers the rows of a hot key.
+    """
+    whole = small(side)
+    if whole is not side:
+        return rows.join(whole, key, how)
+    few, many = small(side.where(F.col(count) > hot)), side.where(F.col(count) <= hot)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(many, key, how))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body with value evaluated once: a lambda variable, which the optimizer can't copy into every use."""
     return F.transform(F.array(value), body)[0]

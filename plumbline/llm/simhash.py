@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require, small
+from .common import join_counted, materialize, require, small
 from .components import components
 
 SEED = 42
@@ -285,16 +285,6 @@ def _components(own: DataFrame) -> DataFrame:
     return materialize(rooted.join(least, "root", "left").select("fp", "first_id", "n_docs", "root", F.coalesce("least_id", "first_id").alias("component_id")))
 
 
-def _with(own: DataFrame, by_fp: DataFrame) -> DataFrame:
-    """own, each row with the columns of its fingerprint. by_fp has n_docs: fingerprints of very many rows are broadcast."""
-    side = small(by_fp)
-    if side is not by_fp:
-        return own.join(side, "fp", "left")
-    hot, cold = by_fp.where(F.col("n_docs") > HOT_COPIES), by_fp.where(F.col("n_docs") <= HOT_COPIES)
-    hot = small(hot)  # at most one for HOT_COPIES rows
-    return own.join(hot, "fp").unionByName(own.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp", "left"))
-
-
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable over links).
 
@@ -305,7 +295,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     own = materialize(fingerprints(docs, id_column=id_column, text_column=text_column))
     # Only what several documents share or a link connects is joined; another document is its own component.
     named = _components(own).where((F.col("n_docs") > 1) | ~F.col("first_id").eqNullSafe(F.col("component_id")))
-    rows = _with(own, named.select("fp", "n_docs", "component_id"))
+    rows = join_counted(own, named.select("fp", "n_docs", "component_id"), "fp", "n_docs", HOT_COPIES, "left")
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("n_docs").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -324,7 +314,7 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     per_fp = own.groupBy("fp").agg(F.min(rank()).alias("own_best")).join(by_fp, "fp")
     per_root = per_fp.groupBy("root").agg(F.min("own_best").alias("best"), F.sum("n_docs").alias("n"))
     shared = materialize(by_fp.join(per_root.where("n > 1"), "root").select("fp", "n_docs", "best"))
-    judged = _with(own, shared).where(F.col("best").isNotNull())
+    judged = join_counted(own, shared, "fp", "n_docs", HOT_COPIES)
     stays = F.col("best.id").eqNullSafe(F.col("doc_id")) & (F.col("best.v") == F.col("version"))
     keys = materialize(judged.groupBy(F.col("doc_id").alias("key_id"), F.col("version").alias("key_version")).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")))
     same = lambda side: docs[id_column].eqNullSafe(side["key_id"]) & (version == side["key_version"])

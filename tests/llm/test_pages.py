@@ -1,5 +1,6 @@
 import base64
 import hashlib
+from pathlib import Path
 
 import pytest
 
@@ -66,7 +67,7 @@ def test_bundles_are_seekable_files(spark, tmp_path):
 
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 200) for i in range(50)], "page_id long, url string, html string").coalesce(1)
     bundles = warc.write_bundles(pages, frame_bytes=4000)
-    (path,) = warc.export_bundles(bundles, tmp_path)
+    (path,) = map(Path, warc.export_bundles(bundles, tmp_path))
     data = path.read_bytes()
     frames = warc.read_seek_table(data)
     assert len(frames) > 5 and sum(f[1] for f in frames) < len(data)
@@ -77,6 +78,26 @@ def test_bundles_are_seekable_files(spark, tmp_path):
     assert head["WARC-Record-ID"] == name == "<urn:page:37>" and payload == b"<p>37</p>" * 200
 
 
+def test_records_are_read_by_their_identifier(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i % 40}</p>" * 200) for i in range(50)], "page_id long, url string, html string").repartition(2, "page_id")
+    bundles = warc.write_bundles(pages, frame_bytes=4000, bundle_bytes=2000)
+    index = warc.record_index(bundles)
+    assert index.count() == 50 and index.where("record_id = '<urn:page:37>'").count() == 1
+    wanted = spark.createDataFrame([("<urn:page:37>",), ("<urn:page:45>",), ("<urn:page:3>",), ("<urn:page:3>",), ("<urn:page:99>",), (None,)], "record_id string")
+    rows = {r.page_id: (r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read_records(bundles, index, wanted).collect()}
+    assert rows == {37: ("response", None, b"<p>37</p>" * 200), 3: ("response", None, b"<p>3</p>" * 200), 45: ("revisit", 5, None)}
+    footers = bundles.where("size(record_ids) = 0").collect()
+    for r in footers:
+        frames = bundles.where((bundles.bundle_id == r.bundle_id) & (bundles.frame < r.frame)).orderBy("frame").collect()
+        assert [(f[1]) for f in warc.read_seek_table(bytes(r.data))] == [len(f.data) for f in frames]
+
+
+def test_rows_that_share_an_identifier_keep_their_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (2, "u", "b"), (3, "u", "b"), (3, "u", "a")], "page_id long, url string, html string")
+    rows = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_digest) for r in warc.read_bundles(warc.write_bundles(pages)).collect())
+    assert rows == sorted([(1, "response", 0, digest("a")), (2, "revisit", 1, digest("a")), (2, "response", 0, digest("b")), (3, "revisit", 2, digest("b")), (3, "revisit", 1, digest("a"))])
+
+
 def test_empty_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_bundles(warc.write_bundles(empty)).count() == 0
