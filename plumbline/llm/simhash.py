@@ -280,8 +280,9 @@ def _components(own: DataFrame) -> DataFrame:
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")))
     nodes = components(link_fingerprints(distinct.select("fp")))
     rooted = materialize(distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_docs", F.coalesce("root", "fp").alias("root")))
-    linked = rooted.join(nodes.select(F.col("root").alias("linked")).distinct(), F.col("root") == F.col("linked"), "left_semi")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    # Roots of links are few beside fingerprints; broadcast, the fingerprints of a large component meet in no task.
+    linked = rooted.join(small(nodes.select(F.col("root").alias("linked")).distinct()), F.col("root") == F.col("linked"), "left_semi")
+    least = small(linked.groupBy("root").agg(F.min("first_id").alias("least_id")))
     return materialize(rooted.join(least, "root", "left").select("fp", "first_id", "n_docs", "root", F.coalesce("least_id", "first_id").alias("component_id")))
 
 
