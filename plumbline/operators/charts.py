@@ -74,6 +74,74 @@ def density(df: DataFrame, column: str, points: int = 100, bins: int = 2048) ->
     return grid.crossJoin(F.broadcast(fine)).groupBy("x").agg((F.sum(kernel) / (r.n * h * math.sqrt(2 * math.pi))).alias("density"))  # points x bins
 
 
+def violins(df: DataFrame, value: str, group: str, points: int = 100, bins: int = 512) -> DataFrame:
+    """(group_value, point, x, density): a Gaussian kernel of Scott's width per group, on one grid, over counts in fine bins.
+
+    Only groups with at least two different values have a density. Rows meet no grid point; counts do.
+    """
+    rows = normalize(df).select(col(group).cast("string").alias("g"), number(value).alias("v")).where("g is not null and v is not null")
+    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    sizes = rows.groupBy("g").agg(F.count("v").alias("n"), (F.stddev_samp("v") * F.pow(F.count("v"), F.lit(-0.2))).alias("h")).where("h > 0")
+    width = (F.col("hi") - F.col("lo")) / bins
+    fine = rows.crossJoin(F.broadcast(ends)).groupBy("g", "lo", "hi", F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width)).alias("b")).agg(F.count(F.lit(1)).alias("c"))  # one row
+    x = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1)
+    centre = F.col("lo") + (F.col("b") + 0.5) * width
+    grid = fine.join(sizes, "g").withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    kernel = F.sum(F.col("c") * F.exp(-0.5 * F.pow((x - centre) / F.col("h"), F.lit(2))))
+    scale = F.first("n") * F.first("h") * math.sqrt(2 * math.pi)
+    return grid.groupBy(F.col("g").alias("group_value"), "point").agg(F.first(x).alias("x"), (kernel / scale).alias("density"))
+
+
+def scatter_matrix(df: DataFrame, columns: list[str] | None = None, bins: int = 30) -> DataFrame:
+    """(feature1, feature2, bin1, bin2, n): counts in a grid for every pair of columns; empty cells are absent.
+
+    One pass finds the ends, one counts all pairs; what is shuffled is bounded by pairs and cells.
+    """
+    df = normalize(df)
+    columns = columns or numeric_columns(df)
+    ends = df.agg(*[e for i, c in enumerate(columns) for e in (F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}"))])
+    rows = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(ends))  # one row
+
+    def place(i: int):
+        width = (F.col(f"hi{i}") - F.col(f"lo{i}")) / bins
+        return F.when(F.col(f"hi{i}") == F.col(f"lo{i}"), F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col(f"v{i}") - F.col(f"lo{i}"), width)))).cast("long")
+
+    placed = rows.select(*[place(i).alias(f"b{i}") for i in range(len(columns))])
+    pairs = [F.struct(F.lit(columns[i]).alias("feature1"), F.lit(columns[j]).alias("feature2"), F.col(f"b{i}").alias("bin1"), F.col(f"b{j}").alias("bin2")) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    cells = placed.select(F.inline(F.array(*pairs))).where("bin1 is not null and bin2 is not null")
+    return cells.groupBy("feature1", "feature2", "bin1", "bin2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scatter_points(df: DataFrame, columns: list[str], key: list[str], most: int = 5_000, group: str | None = None) -> DataFrame:
+    """Sampled rows of two or three columns, and a group, for a scatter plot; the sample is the key's hash's choice."""
+    from .features import random_sample
+
+    chosen = normalize(df).select(*[col(k) for k in key], *[number(c).alias(f"axis{i}") for i, c in enumerate(columns)], *([col(group).cast("string").alias("group_value")] if group else []))
+    return random_sample(chosen.na.drop(subset=[f"axis{i}" for i in range(len(columns))]), most, key)
+
+
+def pair_plot(df: DataFrame, columns: list[str], bins: int = 30) -> dict[str, DataFrame]:
+    """The tables of a pair plot: histograms on the diagonal, cells of the others, correlations for their titles."""
+    return {"diagonal": histograms(df, columns, bins), "cells": scatter_matrix(df, columns, bins), "correlations": pearson(df, columns)}
+
+
+def dashboard(df: DataFrame, columns: list[str] | None = None, bins: int = 30) -> dict:
+    """The tables of an overview page: histograms, boxes and correlations of the numeric columns."""
+    columns = columns or numeric_columns(normalize(df))
+    return {"histograms": histograms(df, columns, bins), "boxes": box(df, columns), "correlations": correlation_heatmap(df, columns)}
+
+
+def save_figure(svg: str, path: str) -> str:
+    """Writes a figure as .svg, or as a page of its own as .html."""
+    from pathlib import Path
+
+    kind = Path(path).suffix
+    if kind not in (".svg", ".html"):
+        raise ValueError(f"figures are written as .svg or .html, not {kind!r}")
+    Path(path).write_text(svg if kind == ".svg" else f"<!DOCTYPE html><meta charset='utf-8'>{svg}", encoding="utf-8")
+    return path
+
+
 def qq(df: DataFrame, column: str, points: int = 200) -> list[tuple[float, float]]:
     """(normal quantile, value) at evenly spread places, by exact percentiles."""
     p = [(i + 0.5) / points for i in range(points)]

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError, DataValidationError, EDAError
 from ..functions.columns import categorical_columns, column_class, normalize, numeric_columns
-from ..operators import anomaly, correlation, descriptive, hypothesis, outliers, quality
+from ..operators import anomaly, correlation, descriptive, features, hypothesis, outliers, quality
 from .config import EDAConfig
+from .runtime import DiskCache, MemoryCache, ResultCache
 
 VERSION = "0.1.0"
 
@@ -37,7 +38,11 @@ def section(run: Callable[[], dict]) -> dict:
 
 class Analyzer:
     def __init__(self, config: EDAConfig | None = None):
-        self.config, self.results = config or EDAConfig(), {}
+        self.config, self.results, self.cache = config or EDAConfig(), {}, None
+        if self.config.enable_cache:
+            c = self.config
+            backend = MemoryCache(c.cache_max_size, c.cache_ttl) if c.cache_backend == "memory" else DiskCache(c.cache_dir, int(c.cache_max_size_mb * (1 << 20)), c.cache_ttl)
+            self.cache = ResultCache(backend)
 
     def analyze(self, df: DataFrame, quick: bool = False) -> dict:
         """Sections overview, statistics, quality, outliers, correlations, insights, metadata. quick leaves out normality tests and outliers."""
@@ -45,7 +50,11 @@ class Analyzer:
             raise DataValidationError("a Spark DataFrame is needed")
         if df.isEmpty():
             raise DataValidationError("the table is empty")
-        began, df = time.time(), normalize(df)
+        settings = self.config.to_dict() | {"quick": quick}
+        if self.cache is not None and (kept := self.cache.get(df, "analyze", settings)) is not None:
+            self.results = kept
+            return kept
+        table, began, df = df, time.time(), self.sampled(normalize(df))
         out = {"overview": section(lambda: self.overview(df)), "statistics": section(lambda: self.statistics(df, quick)), "quality": section(lambda: self.quality(df))}
         if not quick:
             out["outliers"] = section(lambda: self.outliers(df))
@@ -53,8 +62,24 @@ class Analyzer:
         out["insights"] = self.insights(out)
         out["metadata"] = {"timestamp": datetime.now(UTC).isoformat(), "duration_seconds": time.time() - began, "version": VERSION, "config": self.config.to_dict()}
         self.results = out
+        if self.cache is not None:
+            self.cache.set(table, "analyze", out, settings)
+        if self.config.save_results:
+            from ..sources.report import write_report
+
+            folder = Path(self.config.output_dir)
+            folder.mkdir(parents=True, exist_ok=True)
+            write_report(out, table, folder / f"results.{self.config.output_format}", self.config.output_format, title="Data report", include_visualizations=self.config.include_visualizations)
         return out
 
+    def sampled(self, df: DataFrame) -> DataFrame:
+        """The table, or a sample by the hash of its rows where the settings ask for one and it has more rows."""
+        c = self.config
+        if not c.enable_auto_sampling or df.limit(c.auto_sample_threshold + 1).count() <= c.auto_sample_threshold:
+            return df
+        keyed = df.withColumn("_row_hash", F.xxhash64(*df.columns))
+        return features.smart_sample(keyed, ["_row_hash"], c.sample_rows or None, c.sampling_method)[0].drop("_row_hash")
+
     def overview(self, df: DataFrame) -> dict:
         return records(descriptive.overview(df))[0] | {"column_types": {f.name: f.dataType.simpleString() for f in df.schema.fields}, "column_classes": {f.name: column_class(f) for f in df.schema.fields}}
 
@@ -68,7 +93,7 @@ class Analyzer:
             description.unpersist()
             out["distributions"] = by_column(descriptive.distributions(df))
             if not quick and self.config.normality_tests:
-                out["normality_tests"] = {c: section(lambda c=c: hypothesis.normality(df, c, self.config.significance_level)) for c in numbers}
+                out["normality_tests"] = {c: section(lambda c=c: self.normality(df, c)) for c in numbers}
         if texts:
             out["categorical"] = by_column(descriptive.categorical_profile(df))
             out["top_values"] = records(descriptive.value_counts(df, texts))
@@ -79,6 +104,14 @@ class Analyzer:
         }
         return out
 
+    def normality(self, df: DataFrame, column: str) -> dict:
+        """All tests of a column; likely_normal is the vote, or the chosen test's own verdict where it was run."""
+        found, method = hypothesis.normality(df, column, self.config.significance_level), self.config.distribution_test_method
+        own = found.get(method)
+        if own:
+            found["likely_normal"] = own["a2"] < own["critical_5"] if method == "anderson" else own["p_value"] > self.config.significance_level
+        return found
+
     def quality(self, df: DataFrame) -> dict:
         lost, duplicates, score = by_column(quality.missing(df, self.config.missing_threshold)), records(quality.duplicates(df))[0], records(quality.quality_score(df))[0]
         above = [c for c, r in lost.items() if r["above_threshold"]]

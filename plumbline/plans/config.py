@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, fields, replace
+from dataclasses import asdict, dataclass, field, fields, replace
+from pathlib import Path
 
 from ..errors import InvalidConfigurationError
 
+DISTRIBUTION_TESTS = ("shapiro", "ks", "anderson", "dagostino")
+SAMPLING_METHODS = ("random", "stratified", "systematic", "adaptive")
+CACHE_BACKENDS = ("memory", "disk")
+OUTPUT_FORMATS = ("json", "html", "pdf")
 OUTLIER_METHODS = ("iqr", "zscore", "modified_zscore", "isolation_forest", "lof", "all")
 
 
@@ -22,19 +27,42 @@ class EDAConfig:
     zscore_threshold: float = 3.0
     modified_zscore_threshold: float = 3.5
     high_cardinality: int = 50
-    max_categories: int = 20
+    max_categories: int = 50
+    min_cardinality: int = 100
     normality_tests: bool = True
+    #: The test whose p-value decides a column's normality; "majority" lets all vote.
+    distribution_test_method: str = "majority"
     include_visualizations: bool = True
     n_samples_viz: int = 10_000
     sample_rows: int = 0
     accuracy: str = "exact"
     random_state: int = 42
+    #: Tables of more rows are sampled before an analysis; off, as Spark reads whole tables.
+    enable_auto_sampling: bool = False
+    auto_sample_threshold: int = 100_000
+    sampling_method: str = "random"
+    #: Results are kept by the table's plan and the settings.
+    enable_cache: bool = False
+    cache_backend: str = "memory"
+    cache_dir: str = "./.plumbline_cache"
+    cache_max_size: int = 100
+    cache_max_size_mb: float = 500.0
+    cache_ttl: float | None = None
+    #: A finished analysis is written to the folder.
+    save_results: bool = False
+    output_dir: str = "./eda_results"
+    output_format: str = "json"
+    custom_params: dict = field(default_factory=dict)
     verbose: bool = False
 
     def __post_init__(self) -> None:
         problems = [n for n in ("correlation_threshold", "missing_threshold") if not 0 <= getattr(self, n) <= 1]
         problems += [n for n in ("significance_level", "confidence_level") if not 0 < getattr(self, n) < 1]
-        problems += [n for n in ("iqr_multiplier", "zscore_threshold", "modified_zscore_threshold", "high_cardinality", "max_categories", "n_samples_viz") if getattr(self, n) <= 0]
+        problems += [n for n in ("iqr_multiplier", "zscore_threshold", "modified_zscore_threshold", "high_cardinality", "max_categories", "min_cardinality", "n_samples_viz", "auto_sample_threshold", "cache_max_size", "cache_max_size_mb") if getattr(self, n) <= 0]
+        chosen = {"distribution_test_method": ("majority", *DISTRIBUTION_TESTS), "sampling_method": SAMPLING_METHODS, "cache_backend": CACHE_BACKENDS, "output_format": OUTPUT_FORMATS}
+        problems += [n for n, allowed in chosen.items() if getattr(self, n) not in allowed]
+        if self.cache_ttl is not None and self.cache_ttl <= 0:
+            problems.append("cache_ttl")
         if not 0 < self.outlier_contamination <= 0.5:
             problems.append("outlier_contamination")
         if self.outlier_method not in OUTLIER_METHODS:
@@ -65,14 +93,17 @@ class EDAConfig:
         values = {}
         for f in fields(cls):
             text = spark.conf.get(f"eda.{f.name}", None)
-            if text is not None:
-                values[f.name] = text.lower() == "true" if isinstance(f.default, bool) else type(f.default)(text)
+            if text is not None and f.name != "custom_params":
+                kind = float if f.default is None else type(f.default)
+                values[f.name] = text.lower() == "true" if isinstance(f.default, bool) else kind(text)
         return cls(**values)
 
     def to_dict(self) -> dict:
         return asdict(self)
 
     def to_json(self, path: str, indent: int = 2) -> None:
+        """Writes the settings; folders on the way are made."""
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
         with open(path, "w", encoding="utf-8") as f:
             json.dump(self.to_dict(), f, indent=indent)
 

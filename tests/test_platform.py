@@ -179,3 +179,33 @@ def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_more_settings(tmp_path, spark):
+    for bad in ({"distribution_test_method": "x"}, {"output_format": "x"}, {"cache_backend": "x"}, {"sampling_method": "x"}, {"min_cardinality": 0}, {"cache_ttl": -1}, {"max_categories": 0}):
+        with pytest.raises(InvalidConfigurationError):
+            EDAConfig(**bad)
+    path = tmp_path / "a" / "b" / "settings.json"
+    EDAConfig(custom_params={"a": 1}).to_json(str(path))
+    assert EDAConfig.from_json(str(path)).custom_params == {"a": 1}
+    df = spark.createDataFrame([(float(i % 37), f"s{i % 3}") for i in range(600)], "x double, s string")
+    eda = EDA(enable_cache=True, save_results=True, output_dir=str(tmp_path / "out"), distribution_test_method="ks", enable_auto_sampling=True, auto_sample_threshold=500, sample_rows=300)
+    first = eda.analyze(df)
+    assert (tmp_path / "out" / "results.json").exists() and 295 <= first["overview"]["rows"] <= 300
+    assert eda.analyze(df) is first
+    tests = first["statistics"]["normality_tests"]["x"]
+    assert tests["likely_normal"] == (tests["ks"]["p_value"] > 0.05)
+
+
+def test_chart_tables_and_figures(tmp_path, spark):
+    from plumbline.operators import charts
+
+    df = spark.createDataFrame([(i, float(i), float(i % 7), "a" if i % 2 else "b") for i in range(200)], "k long, x double, y double, g string")
+    assert charts.scatter_matrix(df, ["x", "y"], 5).agg({"n": "sum"}).first()[0] == 200
+    assert charts.scatter_points(df, ["x", "y"], ["k"], 50, "g").count() == 50
+    assert charts.violins(df, "x", "g", 10).count() == 20
+    assert set(charts.dashboard(df.select("x", "y"))) == {"histograms", "boxes", "correlations"} and set(charts.pair_plot(df, ["x", "y"])) == {"diagonal", "cells", "correlations"}
+    figure = charts.svg_bars([("a<b", 1.0)], "t")
+    assert "&lt;" in open(charts.save_figure(figure, str(tmp_path / "f.html"))).read() and open(charts.save_figure(figure, str(tmp_path / "f.svg"))).read() == figure
+    with pytest.raises(ValueError):
+        charts.save_figure(figure, str(tmp_path / "f.png"))
