@@ -47,6 +47,22 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out
 
 
+def ranged(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """df with _part, the range of its value, and _base, the rows (or weights) of all lower ranges.
+
+    The ranges' bounds are approximate quantiles, fetched once (fewer than a thousand numbers) and then fixed, so a row's
+    range doesn't depend on how a stage was dealt or run again.
+    """
+    parts = min(1_000, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ends = df.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("e")).first().e
+    bounds = F.array(*[F.lit(float(e)) for e in sorted(set(ends or []))])
+    part = F.size(F.filter(bounds, lambda e: e < F.col(value).cast("double"))) if ends else F.lit(0)
+    placed = df.withColumn("_part", part)
+    sizes = placed.groupBy("_part").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_sum"))
+    base = sizes.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(base), "_part")  # a row per range
+
+
 def average_ranks(values: DataFrame, value: str, by: list[str], rank: str = "rank") -> DataFrame:
     """Each distinct value's average rank within by: counts per value, then running sums over distinct values only.
 
@@ -57,28 +73,50 @@ def average_ranks(values: DataFrame, value: str, by: list[str], rank: str = "ran
     if by:
         before = F.sum("_ties").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
         return counts.withColumn(rank, F.coalesce(before, F.lit(0)) + (F.col("_ties") + 1) / 2.0)
-    ranged = counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id())
-    totals = ranged.groupBy("_part").agg(F.sum("_ties").alias("_sum"), F.min(value).alias("_low"))
-    totals = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     before = F.sum("_ties").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    joined = ranged.join(F.broadcast(totals), "_part")  # a row per partition
-    return joined.withColumn(rank, F.col("_base") + F.coalesce(before, F.lit(0)) + (F.col("_ties") + 1) / 2.0).drop("_part", "_base")
+    return ranged(counts, value, "_ties").withColumn(rank, F.col("_base") + F.coalesce(before, F.lit(0)) + (F.col("_ties") + 1) / 2.0).drop("_part", "_base")
 
 
-def pair_values(df: DataFrame, columns: list[str]) -> DataFrame:
+def pair_values(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(feature1, feature2, x, y) with both values, one narrow row per pair of columns."""
-    pairs = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), number(a).alias("x"), number(b).alias("y")) for a, b in combinations(columns, 2)]
-    return df.select(F.inline(F.array(*pairs))).where("x is not null and y is not null")
+    parts = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), number(a).alias("x"), number(b).alias("y")) for a, b in pairs]
+    return df.select(F.inline(F.array(*parts))).where("x is not null and y is not null")
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson's r of average ranks, ranked anew for every pair over its complete rows.
+    """(feature1, feature2, r, n): Pearson's r of average ranks over each pair's complete rows.
 
-    Equal (x, y) collapse to weighted cells before ranking, and moments of ranks are weighted sums.
+    Columns without missing values have the same ranks in every pair: each is ranked once, by ranges of its values, and
+    all their pairs share one aggregate. A pair with a column that misses values is ranked anew over its complete rows.
     """
     df = normalize(df)
+    columns = varying_columns(df, columns)
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, r double, n long")
+    lost = df.agg(*[F.count_if(number(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for c, m in zip(columns, lost, strict=True) if not m]
+    parts = [_whole_spearman(df, whole)] if len(whole) > 1 else []
+    some = [(a, b) for a, b in combinations(columns, 2) if a not in whole or b not in whole]
+    if some:
+        parts.append(_pairwise_spearman(df, some))
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+
+
+def _whole_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    rows = values = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    for i in range(len(columns)):
+        # Rows of a frequent value may be very many; adaptive execution splits them, a rank is one row per value.
+        rows = rows.join(average_ranks(values.select(f"v{i}"), f"v{i}", [], f"r{i}").select(f"v{i}", f"r{i}"), f"v{i}")
+    pairs = list(combinations(range(len(columns)), 2))
+    one = rows.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs])
+    parts = [F.struct(F.lit(columns[i]).alias("feature1"), F.lit(columns[j]).alias("feature2"), F.col(f"c{i}_{j}").alias("r"), F.col("n")) for i, j in pairs]
+    return one.select(F.inline(F.array(*parts)))
+
+
+def _pairwise_spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Equal (x, y) collapse to weighted cells before ranking, and moments of ranks are weighted sums."""
     keys = ["feature1", "feature2"]
-    cells = pair_values(df, varying_columns(df, columns)).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    cells = pair_values(df, pairs).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w"))
     weighted = lambda v: cells.groupBy(*keys, v).agg(F.sum("w").alias("t"))
 
     def ranks(v: str, name: str) -> DataFrame:
@@ -134,7 +172,7 @@ def kendall_tau_b(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float | None:
 def kendall(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """tau-b per pair. Cells of equal (x, y) are counted first; a pair's distinct cells go to one task."""
     df = normalize(df)
-    cells = pair_values(df, varying_columns(df, columns)).groupBy("feature1", "feature2", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    cells = pair_values(df, list(combinations(varying_columns(df, columns), 2))).groupBy("feature1", "feature2", "x", "y").agg(F.count(F.lit(1)).alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tau = kendall_tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import categorical_columns, col, long_form, normalize, number, numeric_columns
-from .correlation import pearson
+from .correlation import pearson, ranged
 
 # Sampling ----------------------------------------------------------------------------------------
 
@@ -38,32 +38,40 @@ reservoir_sample = random_sample  # a uniform sample of n rows either way
 
 
 def systematic_sample(df: DataFrame, n: int, key: list[str]) -> DataFrame:
-    """The rows at floor(i * N / n) in key order, by ranged places instead of one ordered task."""
+    """The rows at floor(i * N / n) in key order, by ranged places instead of one ordered task.
+
+    A numeric first key is cut into ranges; rows of another kind of key are ordered in one task.
+    """
     total = df.count()
     if n >= total:
         return df
-    ranged = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    placed = ranged.join(F.broadcast(base), "_part").withColumn("_i", F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(*key)) - 1)
+    if key[0] in numeric_columns(df):
+        placed = ranged(df, key[0]).withColumn("_i", F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(*key)) - 1).drop("_part", "_base")
+    else:
+        placed = df.withColumn("_i", F.row_number().over(Window.orderBy(*key)) - 1)
     # Place i is taken if some j has floor(j * N / n) = i: j = ceil(i * n / N) is the only candidate.
     j = F.ceil(F.col("_i") * n / total)
-    return placed.where((F.floor(j * total / n) == F.col("_i")) & (j < n)).drop("_part", "_base", "_i")
+    return placed.where((F.floor(j * total / n) == F.col("_i")) & (j < n)).drop("_i")
 
 
 def stratified_sample(df: DataFrame, n: int, stratum: str, key: list[str], seed: int = 42) -> DataFrame:
     """max(1, floor(n * share)) rows of every non-null stratum, first by the key's hash.
 
-    A stratum's quota is a row of a broadcast table. Rows are thinned before ranking: only those whose hash lies below
+    A stratum's quota is a row of a joined table. Rows are thinned before ranking: only those whose hash lies below
     four times the quota's share (and at least a few hundred expected) can win, so a large stratum never meets in one task.
     """
     rows = df.where(col(stratum).isNotNull())
     sizes = rows.groupBy(col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
     total = F.sum("_c").over(Window.partitionBy(F.lit(0)))
     quota = sizes.select("_s", "_c", F.greatest(F.lit(1), F.floor(n * F.col("_c") / total)).alias("_q"))
-    joined = rows.join(F.broadcast(quota), col(stratum) == F.col("_s"))
+    joined = rows.join(quota, col(stratum) == F.col("_s"))  # Spark broadcasts it if it is small
     draw = F.pmod(_draw(key, seed), F.lit(1 << 40))
-    near = joined.withColumn("_h", draw).where(F.col("_h") / float(1 << 40) <= (4.0 * F.col("_q") + 300) / F.col("_c"))
+    thinned = joined.withColumn("_h", draw).where(F.col("_h") / float(1 << 40) <= (4.0 * F.col("_q") + 300) / F.col("_c"))
+    # Keys that repeat share their hash: a stratum of few keys may fall short, and is then ranked whole.
+    left = thinned.groupBy(F.col("_s").alias("_left")).agg(F.count(F.lit(1)).alias("_n"))
+    short = quota.join(left, F.col("_s") == F.col("_left"), "left").where(F.coalesce("_n", F.lit(0)) < F.col("_q")).select(F.col("_s").alias("_short"))
+    whole = joined.withColumn("_h", draw).join(short, F.col("_s") == F.col("_short"), "left_semi")
+    near = thinned.join(short, F.col("_s") == F.col("_short"), "left_anti").unionByName(whole)
     ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy("_h", *key)))
     return ranked.where("_k <= _q").drop("_s", "_c", "_q", "_h", "_k")
 
