@@ -47,10 +47,14 @@ def union(template: str, names: list[str]) -> str:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_more  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_more  # noqa: F401
+
     return dict(SQL)
 
 
@@ -514,7 +518,7 @@ def week_year_heatmap(spark, sf_dir):
     return tidy(timeseries.heatmap(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "D"), 7)
 
 
-@query("WITH d AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS t FROM orders WHERE o_orderkey % 4 = 0), g AS (SELECT unnest(generate_series(min(t)::TIMESTAMP, max(t)::TIMESTAMP, INTERVAL 1 DAY)) AS t FROM d) SELECT strftime(t, '%Y-%m-%d') AS t FROM g WHERE t NOT IN (SELECT t FROM d)")
+@query("WITH d AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS t FROM orders), g AS (SELECT unnest(generate_series(min(t)::TIMESTAMP, max(t)::TIMESTAMP, INTERVAL 1 DAY)) AS t FROM d) SELECT strftime(t, '%Y-%m-%d') AS t FROM g WHERE t NOT IN (SELECT t FROM d)")
 def missing_days(spark, sf_dir):
     return day(timeseries.missing_timestamps(table(spark, sf_dir, "orders"), "o_orderdate", "D"), "t")
 

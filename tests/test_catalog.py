@@ -1,6 +1,7 @@
 """Every registered query runs; those with a SQL twin equal it on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from plumbline import catalog
@@ -21,7 +22,7 @@ def duck(sf):
 def rows(frame, columns):
     out = []
     for r in frame[columns].itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else float(v) if hasattr(v, "real") and not isinstance(v, bool) and type(v).__name__ not in ("bool", "bool_") else str(v) for v in r))
+        out.append(tuple(None if pd.api.types.is_scalar(v) and pd.isna(v) else float(v) if hasattr(v, "real") and not isinstance(v, bool) and type(v).__name__ not in ("bool", "bool_") else str(v) for v in r))
     return sorted(out, key=str)
 
 
