@@ -93,8 +93,9 @@ def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> lis
         for y in rows[i + 1 :]:
             se = math.sqrt(mse / 2 * (1 / x.n + 1 / y.n))
             diff = y.mean - x.mean
-            p = S.studentized_range_sf(abs(diff) / se, k, freedom) if se else float(diff == 0)
-            out.append({"group1": x.g, "group2": y.g, "mean_difference": diff, "lower": diff - reach * se, "upper": diff + reach * se, "p_adjusted": p, "reject": p < alpha})
+            q = abs(diff) / se if se else 0.0 if diff == 0 else math.inf
+            p = S.studentized_range_sf(q, k, freedom) if se else float(diff == 0)
+            out.append({"group1": x.g, "group2": y.g, "mean_difference": diff, "q": q, "lower": diff - reach * se, "upper": diff + reach * se, "p_adjusted": p, "reject": p < alpha})
     return out
 
 
@@ -198,7 +199,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     both = normalize(df).select(col(a).cast("string").alias("a"), col(b).cast("string").alias("b")).where("a is not null and b is not null")
     cells = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed"))
     rows, columns = cells.groupBy("a").agg(F.sum("observed").alias("ra")), cells.groupBy("b").agg(F.sum("observed").alias("cb"))
-    grid = rows.crossJoin(F.broadcast(columns)).join(cells, ["a", "b"], "left").fillna(0, ["observed"])  # levels of two categories
+    grid = rows.crossJoin(columns).join(cells, ["a", "b"], "left").fillna(0, ["observed"])  # levels of two categories
     total = F.sum("observed").over(Window.partitionBy(F.lit(0)))
     return grid.select("a", "b", "observed", (F.col("ra") * F.col("cb") / total.cast("double")).alias("expected"))
 
@@ -249,10 +250,10 @@ def levene_table(df: DataFrame, value: str, group: str, center: str = "median")
         centres = v.groupBy("g").agg(F.median("v").alias("c"))
     elif center == "trimmed":
         ends = v.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-        centres = v.join(F.broadcast(ends), "g").where((F.col("v") >= F.col("q")[0]) & (F.col("v") <= F.col("q")[1])).groupBy("g").agg(F.avg("v").alias("c"))
+        centres = v.join(ends, "g").where((F.col("v") >= F.col("q")[0]) & (F.col("v") <= F.col("q")[1])).groupBy("g").agg(F.avg("v").alias("c"))
     else:
         raise ValueError(f"unknown centre {center!r}")
-    deviations = v.join(F.broadcast(centres), "g").select("g", F.abs(F.col("v") - F.col("c")).alias("d"))  # a row per group
+    deviations = v.join(centres, "g").select("g", F.abs(F.col("v") - F.col("c")).alias("d"))  # a row per group
     return anova_table(deviations, "d", "g")
 
 
