@@ -390,6 +390,17 @@ def sample_means(spark, sf_dir):
     return tidy(features.representativeness(orders, sample, ["o_totalprice"]), mean=4, sample_mean=4)
 
 
+@query(SQL["profile_numeric"])
+def profile_by_ranges(spark, sf_dir):
+    """The profile with percentiles that no task holds all values for."""
+    return tidy(descriptive.describe_numeric(table(spark, sf_dir, "lineitem"), MEASURES, accuracy="ranged"), variance=4)
+
+
+@query(SQL["modified_zscore_outliers"])
+def outliers_by_ranges(spark, sf_dir):
+    return tidy(outliers.outliers(table(spark, sf_dir, "lineitem"), "modified_zscore", columns=MEASURES, accuracy="ranged"), lower=4, upper=4)
+
+
 # Validation, files, façade -------------------------------------------------------------------------------
 
 _SCHEMA = {"o_orderkey": {"type": "numeric", "nullable": False}, "o_totalprice": {"type": "numeric", "min_value": 1000, "max_value": 200000}, "o_orderstatus": {"type": "string", "allowed_values": ["F", "O"]}, "o_clerk": {"type": "string"}}

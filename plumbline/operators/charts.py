@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import col, normalize, number, numeric_columns
 from ..functions.special import normal_ppf
 from .correlation import average_ranks, pearson
+from .quantiles import quantile_row
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -49,11 +50,11 @@ def modes_in_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return h.withColumns({"b": before, "a": after}).where("n > b and n > a").drop("a", "b")
 
 
-def box(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def box(df: DataFrame, columns: list[str] | None = None, accuracy: str = "exact") -> DataFrame:
     """(column_name, q1, median, q3, whisker ends inside 1.5 IQR, outliers)."""
     df = normalize(df)
     columns = columns or numeric_columns(df)
-    one = df.agg(*[F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)])
+    one = quantile_row(df, columns, (0.25, 0.5, 0.75), accuracy)
     flat = one.select(*[e for i in range(len(columns)) for e in (F.col(f"q{i}"), (2.5 * F.col(f"q{i}")[0] - 1.5 * F.col(f"q{i}")[2]).alias(f"lo{i}"), (2.5 * F.col(f"q{i}")[2] - 1.5 * F.col(f"q{i}")[0]).alias(f"hi{i}"))])
     rows = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(flat))  # one row
     inside = lambda i: F.when((F.col(f"v{i}") >= F.col(f"lo{i}")) & (F.col(f"v{i}") <= F.col(f"hi{i}")), F.col(f"v{i}"))

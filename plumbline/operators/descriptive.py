@@ -10,16 +10,11 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import categorical_columns, col, datetime_columns, long_form, normalize, number, numeric_columns, quoted
 from ..functions.special import t_ppf
+from .quantiles import percentiles, quantile_row, ranged_quantiles
 
 PERCENTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 
 
-def percentiles(c: Column, probabilities: tuple[float, ...], accuracy: str = "exact") -> Column:
-    """Linear interpolation over all values ("exact": holds the distinct values), or a sketch of bounded size ("approx")."""
-    points = F.array(*[F.lit(p) for p in probabilities])
-    return F.percentile(c, points) if accuracy == "exact" else F.percentile_approx(c, points, 10_000)
-
-
 def adjusted_skewness(c: Column) -> Column:
     n = F.count(c).cast("double")
     return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
@@ -31,18 +26,24 @@ def adjusted_kurtosis(c: Column) -> Column:
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, accuracy: str = "exact") -> DataFrame:
-    """One row per numeric column with its moments, order statistics and shape."""
+    """One row per numeric column with its moments, order statistics and shape.
+
+    accuracy of the percentiles: exact (one buffer of distinct values), approx (a sketch), ranged (exact, in ranges).
+    """
     df = normalize(df)
     columns = columns or numeric_columns(df)
+    own = {} if accuracy == "ranged" else {"q": lambda c: percentiles(number(c), PERCENTILES, accuracy)}
     rows = long_form(
         df, columns, "column_name",
         {
             "count": lambda c: F.count(number(c)), "missing": lambda c: F.count_if(col(c).isNull()), "mean": lambda c: F.avg(number(c)),
             "mode": lambda c: F.mode(number(c), True), "std": lambda c: F.stddev_samp(number(c)), "variance": lambda c: F.var_samp(number(c)),
-            "min": lambda c: F.min(number(c)), "max": lambda c: F.max(number(c)), "q": lambda c: percentiles(number(c), PERCENTILES, accuracy),
+            "min": lambda c: F.min(number(c)), "max": lambda c: F.max(number(c)), **own,
             "skewness": lambda c: adjusted_skewness(number(c)), "kurtosis": lambda c: adjusted_kurtosis(number(c)),
         },
     )
+    if accuracy == "ranged":
+        rows = rows.join(F.broadcast(ranged_quantiles(df, columns, PERCENTILES)), "column_name")  # a row per column
     named = {n: F.col("q")[i] for i, n in enumerate(("p05", "p10", "q1", "median", "q3", "p90", "p95"))}
     rows = rows.withColumns(named).drop("q")
     return rows.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("q3") - F.col("q1"), "cv": 100 * F.try_divide("std", "mean")})
@@ -57,13 +58,15 @@ def mean_interval(description: DataFrame, confidence: float = 0.95) -> list[dict
     return out
 
 
-def median_deviation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def median_deviation(df: DataFrame, columns: list[str] | None = None, accuracy: str = "exact") -> DataFrame:
     """Median absolute deviation per column: the medians come from one job, the deviations from a second."""
     df = normalize(df)
     columns = columns or numeric_columns(df)
-    medians = df.agg(*[F.median(number(c)).alias(f"_m{i}") for i, c in enumerate(columns)])
+    medians = quantile_row(df, columns, (0.5,), accuracy).select(*[F.col(f"q{i}")[0].alias(f"_m{i}") for i in range(len(columns))])
     joined = df.select(*[number(c).alias(f"_v{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(medians))  # one row
-    one = joined.agg(*[e for i in range(len(columns)) for e in (F.first(f"_m{i}").alias(f"m{i}"), F.median(F.abs(F.col(f"_v{i}") - F.col(f"_m{i}"))).alias(f"d{i}"))])
+    away = joined.select(*[F.abs(F.col(f"_v{i}") - F.col(f"_m{i}")).alias(f"_d{i}") for i in range(len(columns))])
+    deviations = quantile_row(away, [f"_d{i}" for i in range(len(columns))], (0.5,), accuracy).select(*[F.col(f"q{i}")[0].alias(f"d{i}") for i in range(len(columns))])
+    one = medians.select(*[F.col(f"_m{i}").alias(f"m{i}") for i in range(len(columns))]).crossJoin(F.broadcast(deviations))  # one row each
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("median"), F.col(f"d{i}").alias("mad")) for i, c in enumerate(columns)])))
 
 

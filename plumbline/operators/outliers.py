@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, normalize, number, numeric_columns, quoted
 from .descriptive import median_deviation
+from .quantiles import quantile_row
 
 
-def _bounds(df: DataFrame, columns: list[str], method: str, limit: float) -> DataFrame:
+def _bounds(df: DataFrame, columns: list[str], method: str, limit: float, accuracy: str = "exact") -> DataFrame:
     """One row with low and high of every column (lo_i, hi_i); null where the rule doesn't apply."""
     if method == "iqr":
-        one = df.agg(*[F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)])
+        one = quantile_row(df, columns, (0.25, 0.75), accuracy)
         spread = lambda i: (F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) * limit
         return one.select(*[e for i in range(len(columns)) for e in ((F.col(f"q{i}")[0] - spread(i)).alias(f"lo_{i}"), (F.col(f"q{i}")[1] + spread(i)).alias(f"hi_{i}"), (F.col(f"q{i}")[1] - F.col(f"q{i}")[0]).alias(f"scale_{i}"))])
     if method == "zscore":
         one = df.agg(*[e for i, c in enumerate(columns) for e in (F.avg(number(c)).alias(f"m{i}"), F.nullif(F.stddev_pop(number(c)), F.lit(0.0)).alias(f"s{i}"))])
         return one.select(*[e for i in range(len(columns)) for e in ((F.col(f"m{i}") - limit * F.col(f"s{i}")).alias(f"lo_{i}"), (F.col(f"m{i}") + limit * F.col(f"s{i}")).alias(f"hi_{i}"), F.col(f"s{i}").alias(f"scale_{i}"))])
     if method == "modified_zscore":
-        rows = median_deviation(df, columns)
+        rows = median_deviation(df, columns, accuracy)
         picked = lambda c, n: F.max(F.when(F.col("column_name") == c, F.col(n)))
         one = rows.agg(*[e for i, c in enumerate(columns) for e in (picked(c, "median").alias(f"m{i}"), F.nullif(picked(c, "mad"), F.lit(0.0)).alias(f"d{i}"))])
         reach = lambda i: limit * F.col(f"d{i}") / 0.6745
@@ -30,11 +31,11 @@ def _bounds(df: DataFrame, columns: list[str], method: str, limit: float) -> Dat
 LIMITS = {"iqr": 1.5, "zscore": 3.0, "modified_zscore": 3.5}
 
 
-def outliers(df: DataFrame, method: str = "iqr", limit: float | None = None, columns: list[str] | None = None) -> DataFrame:
+def outliers(df: DataFrame, method: str = "iqr", limit: float | None = None, columns: list[str] | None = None, accuracy: str = "exact") -> DataFrame:
     """Per column: bounds, values strictly outside (below, above, all) and their share of the non-null values in per cent."""
     df = normalize(df)
     columns = columns or numeric_columns(df)
-    bounds = _bounds(df, columns, method, LIMITS[method] if limit is None else limit)
+    bounds = _bounds(df, columns, method, LIMITS[method] if limit is None else limit, accuracy)
     flagged = df.select(*[number(c).alias(f"_v{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(bounds))  # one row
     one = flagged.agg(*[
         e for i in range(len(columns)) for e in (

@@ -131,7 +131,7 @@ class Analyzer:
         found = {}
         for m in chosen:
             if m in limits:
-                found[m] = by_column(outliers.outliers(df, m, limits[m]))
+                found[m] = by_column(outliers.outliers(df, m, limits[m], accuracy=c.accuracy))
             else:
                 key = "_row_hash"
                 rows = df.withColumn(key, F.xxhash64(*df.columns))

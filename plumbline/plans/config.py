@@ -35,6 +35,7 @@ class EDAConfig:
     include_visualizations: bool = True
     n_samples_viz: int = 10_000
     sample_rows: int = 0
+    #: Of percentiles: exact in one buffer a column, approx by a sketch, ranged exact at any size.
     accuracy: str = "exact"
     random_state: int = 42
     #: Tables of more rows are sampled before an analysis; off, as Spark reads whole tables.
@@ -67,7 +68,7 @@ class EDAConfig:
             problems.append("outlier_contamination")
         if self.outlier_method not in OUTLIER_METHODS:
             problems.append("outlier_method")
-        if self.accuracy not in ("exact", "approx"):
+        if self.accuracy not in ("exact", "approx", "ranged"):
             problems.append("accuracy")
         if self.sample_rows < 0:
             problems.append("sample_rows")
