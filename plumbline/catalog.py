@@ -372,7 +372,7 @@ def isolation_forest(spark, sf_dir):
 
 @query()
 def local_outlier_factor(spark, sf_dir):
-    return anomaly.local_outlier_factor(table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_acctbal", "s_nationkey"])
+    return tidy(anomaly.local_outlier_factor(table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_acctbal", "s_nationkey"]), 4)
 
 
 @query()
@@ -382,7 +382,7 @@ def elliptic_envelope(spark, sf_dir):
 
 @query()
 def dbscan_noise(spark, sf_dir):
-    return anomaly.dbscan(table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_acctbal", "s_nationkey"])
+    return tidy(anomaly.dbscan(table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_acctbal", "s_nationkey"]), 5)
 
 
 @query()
@@ -673,7 +673,7 @@ def bar_chart(spark, sf_dir):
 
 @query()
 def kernel_density(spark, sf_dir):
-    return tidy(charts.density(table(spark, sf_dir, "customer"), "c_acctbal", 50), 9)
+    return tidy(charts.density(table(spark, sf_dir, "customer"), "c_acctbal", 50), 9, x=6)
 
 
 @query("SELECT n_name AS name, n_regionkey AS region, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier")

@@ -185,17 +185,25 @@ _LOF = (
 )
 
 
+#: Twins of queries of the first catalog, over all pairs of rows.
+SQL["local_outlier_factor"] = _LOF + "SELECT s_suppkey, round(f, 4) AS anomaly_score, f > (SELECT quantile_disc(f, 0.9) FROM lof) AS is_anomaly FROM lof JOIN p USING (id)"
+
+
 @query(_LOF + "SELECT s_suppkey, round(f, 4) AS anomaly_score FROM lof JOIN p USING (id)")
 def outlier_factors(spark, sf_dir):
     return tidy(anomaly.local_outlier_factor(table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_acctbal", "s_nationkey"]).select("s_suppkey", "anomaly_score"), 4)
 
 
-@query(
+_DBSCAN = (
     "WITH p AS (SELECT s_suppkey AS id, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS x, (s_nationkey - avg(s_nationkey) OVER ()) / stddev_pop(s_nationkey) OVER () AS y FROM supplier), "
-    "n AS (SELECT a.id, b.id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.id <> b.id), core AS (SELECT id FROM n WHERE d <= 0.3 GROUP BY id HAVING count(*) >= 4), "
-    "c AS (SELECT id, min(d) AS d FROM n WHERE other IN (SELECT id FROM core) GROUP BY id) "
-    "SELECT p.id AS s_suppkey, CASE WHEN p.id IN (SELECT id FROM core) OR coalesce(d <= 0.3, false) THEN 0.0 ELSE round(coalesce(d, 'inf'::DOUBLE), 5) END AS anomaly_score, NOT (p.id IN (SELECT id FROM core) OR coalesce(d <= 0.3, false)) AS is_anomaly FROM p LEFT JOIN c USING (id)"
+    "n AS (SELECT a.id, b.id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS k FROM p a JOIN p b ON a.id <> b.id), "
+    "e AS (SELECT {eps} AS e), core AS (SELECT id FROM n, e WHERE d <= e GROUP BY id HAVING count(*) >= 4), c AS (SELECT id, min(d) AS d FROM n WHERE other IN (SELECT id FROM core) GROUP BY id) "
+    "SELECT p.id AS s_suppkey, CASE WHEN p.id IN (SELECT id FROM core) OR coalesce(d <= e, false) THEN 0.0 ELSE round(coalesce(d, 'inf'::DOUBLE), 5) END AS anomaly_score, NOT (p.id IN (SELECT id FROM core) OR coalesce(d <= e, false)) AS is_anomaly FROM e, p LEFT JOIN c USING (id)"
 )
+SQL["dbscan_noise"] = _DBSCAN.format(eps="(SELECT quantile_cont(d, 0.9) FROM n WHERE k = 4)")
+
+
+@query(_DBSCAN.format(eps="0.3"))
 def dbscan_radius(spark, sf_dir):
     return tidy(anomaly.dbscan(table(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_acctbal", "s_nationkey"], eps=0.3, min_samples=5), 5)
 
@@ -559,12 +567,10 @@ def violin_densities(spark, sf_dir):
     return tidy(found.select("group_value", "point", (F.col("density") * 1e6).alias("density")), 5)
 
 
-@query(
+SQL["kernel_density"] = (
     "WITH r AS (SELECT count(c_acctbal) AS n, stddev_samp(c_acctbal) AS s, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), f AS (SELECT least(2047, floor((c_acctbal - lo) / ((hi - lo) / 2048))) AS b, count(*) AS c FROM customer, r GROUP BY 1), x AS (SELECT unnest(range(50)) AS i) "
-    "SELECT round(lo + i * (hi - lo) / 49, 6) AS x, round(sum(c * exp(-0.5 * pow((lo + i * (hi - lo) / 49 - (lo + (b + 0.5) * (hi - lo) / 2048)) / (s * pow(n, -0.2)), 2))) / max(n * s * pow(n, -0.2) * sqrt(2 * pi())), 9) AS density FROM f, x, r GROUP BY i, lo, hi"
+    "SELECT round(lo + i * ((hi - lo) / 49), 6) AS x, round(sum(c * exp(-0.5 * pow((lo + i * (hi - lo) / 49 - (lo + (b + 0.5) * (hi - lo) / 2048)) / (s * pow(n, -0.2)), 2))) / max(n * s * pow(n, -0.2) * sqrt(2 * pi())), 9) AS density FROM f, x, r GROUP BY i, lo, hi"
 )
-def density_curve(spark, sf_dir):
-    return tidy(charts.density(table(spark, sf_dir, "customer"), "c_acctbal", 50), 9, x=6)
 
 
 @query("SELECT CAST(i AS BIGINT) AS point, round(quantile_cont(o_totalprice, (i + 0.5) / 4), 4) AS value FROM orders, (SELECT unnest(range(4)) AS i) GROUP BY i".replace("quantile_cont(o_totalprice, (i + 0.5) / 4)", "CASE i WHEN 0 THEN quantile_cont(o_totalprice, 0.125) WHEN 1 THEN quantile_cont(o_totalprice, 0.375) WHEN 2 THEN quantile_cont(o_totalprice, 0.625) ELSE quantile_cont(o_totalprice, 0.875) END"))
