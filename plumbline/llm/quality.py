@@ -39,7 +39,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 @cache
 def references() -> dict[str, dict[str, list[float]]]:
     """Per language: chars (shares of CLASSES) and words (shares of COMMON_WORDS, then of all other words)."""
-    return json.loads(Path(__file__).with_name("quality_references.json").read_text())
+    return json.loads(Path(__file__).with_name("quality_references.json").read_text())["languages"]
 
 
 def _left(text: Column, kept: str) -> Column:

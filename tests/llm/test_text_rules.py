@@ -66,10 +66,12 @@ def test_quality_equals_brute_force(spark, sf):
 
 
 def test_quality_verdict_on_labels(spark):
+    """On rows that the references weren't fitted on: of another table, with ids that were held back."""
     folder = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    rows = quality.judge(docs).join(labels, "doc_id").where("not base_failed").collect()
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").where("doc_id % 2 = 1")
+    rows = [r for r in quality.judge(docs).join(labels, "doc_id").collect() if not r.base_failed]
     good, bad = [r for r in rows if r.quality], [r for r in rows if not r.quality]
+    print(len(good), sum(r.kept for r in good), len(bad), sum(r.kept for r in bad))
     assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
 
 
