@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import categorical_columns, col, datetime_columns, long_form, normalize, number, numeric_columns, quoted
 from ..functions.special import t_ppf
-from .quantiles import percentiles, quantile_row, ranged_quantiles
+from .quantiles import quantile_row, ranged_quantiles, sketch, value_cells
 
 PERCENTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 
@@ -25,27 +26,40 @@ def adjusted_kurtosis(c: Column) -> Column:
     return F.when(n > 3, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
+def moments(df: DataFrame, columns: list[str] | None = None, **more: Callable[[str], Column]) -> DataFrame:
+    """One row per numeric column with counts, moments, extremes and shape, from one fused aggregate."""
+    df = normalize(df)
+    return long_form(
+        df, columns or numeric_columns(df), "column_name",
+        {
+            "count": lambda c: F.count(number(c)), "missing": lambda c: F.count_if(col(c).isNull()), "mean": lambda c: F.avg(number(c)),
+            "std": lambda c: F.stddev_samp(number(c)), "variance": lambda c: F.var_samp(number(c)), "min": lambda c: F.min(number(c)), "max": lambda c: F.max(number(c)),
+            "skewness": lambda c: adjusted_skewness(number(c)), "kurtosis": lambda c: adjusted_kurtosis(number(c)), **more,
+        },
+    )
+
+
+def modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, mode): the most frequent value, the least of them on ties; values are counted where they are dealt to by value."""
+    df = normalize(df)
+    counts = df.select(value_cells({i: number(c) for i, c in enumerate(columns)})).where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("c").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("mode"))
+    return found.select(F.array(*[F.lit(c) for c in columns])[F.col("c")].alias("column_name"), "mode")
+
+
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, accuracy: str = "exact") -> DataFrame:
     """One row per numeric column with its moments, order statistics and shape.
 
-    accuracy of the percentiles: exact (one buffer of distinct values), approx (a sketch), ranged (exact, in ranges).
+    accuracy of the percentiles: exact or ranged (the same: exact at any size), approx (a sketch).
     """
     df = normalize(df)
     columns = columns or numeric_columns(df)
-    own = {} if accuracy == "ranged" else {"q": lambda c: percentiles(number(c), PERCENTILES, accuracy)}
-    rows = long_form(
-        df, columns, "column_name",
-        {
-            "count": lambda c: F.count(number(c)), "missing": lambda c: F.count_if(col(c).isNull()), "mean": lambda c: F.avg(number(c)),
-            "mode": lambda c: F.mode(number(c), True), "std": lambda c: F.stddev_samp(number(c)), "variance": lambda c: F.var_samp(number(c)),
-            "min": lambda c: F.min(number(c)), "max": lambda c: F.max(number(c)), **own,
-            "skewness": lambda c: adjusted_skewness(number(c)), "kurtosis": lambda c: adjusted_kurtosis(number(c)),
-        },
-    )
-    if accuracy == "ranged":
+    rows = moments(df, columns, **({"q": lambda c: sketch(number(c), PERCENTILES)} if accuracy == "approx" else {}))
+    if accuracy != "approx":
         rows = rows.join(F.broadcast(ranged_quantiles(df, columns, PERCENTILES)), "column_name")  # a row per column
+    rows = rows.join(F.broadcast(modes(df, columns)), "column_name", "left")  # a row per column
     named = {n: F.col("q")[i] for i, n in enumerate(("p05", "p10", "q1", "median", "q3", "p90", "p95"))}
-    rows = rows.withColumns(named).drop("q")
+    rows = rows.withColumns(named).select("column_name", "count", "missing", "mean", "mode", "std", "variance", "min", "max", "skewness", "kurtosis", *named)
     return rows.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("q3") - F.col("q1"), "cv": 100 * F.try_divide("std", "mean")})
 
 
