@@ -583,7 +583,7 @@ def mean_intervals(spark, sf_dir):
     """Half the interval by Student's quantile is the standard error again."""
     from .functions.special import t_ppf
 
-    described = descriptive.describe_numeric(table(spark, sf_dir, "lineitem"), MEASURES).select("column_name", "count", "mean", "std").collect()
+    described = descriptive.moments(table(spark, sf_dir, "lineitem"), MEASURES).select("column_name", "count", "mean", "std").collect()
     n = {r["column_name"]: r["count"] for r in described}
     means = {r["column_name"]: r["mean"] for r in described}
     found = descriptive.mean_interval(spark.createDataFrame(described))
