@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import normalize, number, numeric_columns
 from .features import random_sample
+from .quantiles import exact_quantiles
 
 #: Rows of a tree of the isolation forest, and of a sample that a model is fitted on.
 TREE_ROWS, FIT_ROWS = 256, 20_000
@@ -137,31 +138,91 @@ def _standardised(rows: DataFrame, xs: list[str]) -> DataFrame:
     return rows.crossJoin(F.broadcast(stats)).select(*[c for c in rows.columns if c not in xs], *[F.coalesce((F.col(x) - F.col(f"_m_{x}")) / F.col(f"_s_{x}"), F.lit(0.0)).alias(x) for x in xs])  # one row
 
 
+#: Rows of a task, points of a block and rows that are compared with blocks together, at most.
+TASK_ROWS, BLOCK_POINTS, GROUP_ROWS = 5_000, 256, 64
+
+
+def _blocks(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """The places of x's rows in blocks of at most so many that lie together: the widest side is cut at its median."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out += [rows] if len(rows) else []
+            continue
+        half = len(rows) // 2
+        sides = x[rows].max(0) - x[rows].min(0)
+        order = np.argpartition(x[rows, int(np.argmax(sides))], half) if len(sides) else np.arange(len(rows))
+        todo += [rows[order[half:]], rows[order[:half]]]
+    return out
+
+
 def _numbered(rows: DataFrame, key: list[str], xs: list[str]) -> tuple[DataFrame, np.ndarray]:
-    """The rows with _id from 0 by key, and their features by _id: 8 bytes a number in the memory of the driver and of each task."""
-    table = rows.withColumn("_id", F.row_number().over(Window.orderBy(*key, *xs)) - 1).toPandas().sort_values("_id")
-    frame = rows.sparkSession.createDataFrame(table, rows.schema.add("_id", "long"))
-    return frame.repartition(max(8, len(table) // 5_000)), table[xs].to_numpy(dtype=float)
+    """The rows with _id from 0 by key, near ones in one task, and their features by _id: 8 bytes a number in the memory of the driver and of each task."""
+    table = rows.withColumn("_id", F.row_number().over(Window.orderBy(*key, *xs)) - 1).toPandas().sort_values("_id", ignore_index=True)
+    points = table[xs].to_numpy(dtype=float)
+    block, found = np.zeros(len(table), dtype=np.int64), _blocks(points, TASK_ROWS)
+    for i, places in enumerate(found):
+        block[places] = i
+    frame = rows.sparkSession.createDataFrame(table.assign(_block=block), rows.schema.add("_id", "long").add("_block", "long"))
+    return frame.repartition(max(8, len(found)), "_block").drop("_block"), points
+
+
+def _first_copies(points: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of points that are equal the first so many by id: with equal distances going by id, no others can be among so many nearest."""
+    order = np.lexsort((ids, *points.T))
+    points, ids = points[order], ids[order]
+    starts = np.ones(len(ids), dtype=bool)
+    starts[1:] = (points[1:] != points[:-1]).any(1)
+    places = np.arange(len(ids))
+    kept = places - np.maximum.accumulate(np.where(starts, places, 0)) < most
+    return points[kept], ids[kept]
+
+
+def _search(x: np.ndarray, points: np.ndarray, ids: np.ndarray, blocks: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest points of each row of x, equal distances by id; infinite where there are fewer.
+
+    Rows in groups that lie together go through the blocks of points from the nearest on, until the gap to the next block
+    is more than every row's k-th distance.
+    """
+    nearest, which = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
+    lows, highs = np.array([points[b].min(0) for b in blocks]), np.array([points[b].max(0) for b in blocks])
+    for rows in _blocks(x, GROUP_ROWS) if blocks else []:
+        own = x[rows]
+        gaps = np.sqrt((np.maximum(0, np.maximum(lows - own.max(0), own.min(0) - highs)) ** 2).sum(1))
+        best, found = nearest[rows], which[rows]
+        for at in np.argsort(gaps):
+            if not gaps[at] * (1 - 1e-12) <= best[:, -1].max():  # rounding of distances
+                break
+            p, pid = points[blocks[at]], ids[blocks[at]]
+            d = np.sqrt(sum(((own[:, [f]] - p[:, f]) ** 2 for f in range(p.shape[1])), np.zeros((len(own), len(p)))))
+            some = np.flatnonzero((d <= best[:, [-1]]).any(1))
+            both, named = np.hstack([best[some], d[some]]), np.hstack([found[some], np.broadcast_to(pid, d[some].shape)])
+            order = np.lexsort((named, both), axis=1)[:, :k]
+            best[some], found[some] = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
+        nearest[rows], which[rows] = best, found
+    return nearest, which
 
 
 def _nearest(frame: DataFrame, xs: list[str], points: np.ndarray, ids: np.ndarray, k: int) -> DataFrame:
-    """(_nid, neighbours): the k nearest other points as (distance, id), equal distances by id. Rows and points in blocks."""
+    """(_nid, neighbours): the k nearest other points as (distance, id), equal distances by id.
+
+    Rows that are equal are looked up once: their k + 1 nearest points, of which a row leaves out itself or the last.
+    """
     fields = "_nid long, neighbours array<struct<d: double, id: long>>"
+    points, ids = _first_copies(points, ids, k + 1)
+    blocks = _blocks(points, BLOCK_POINTS)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                x, own = part[xs].to_numpy(dtype=float), part["_id"].to_numpy()
-                best, which = np.empty((len(own), 0)), np.empty((len(own), 0), dtype=np.int64)
-                for first in range(0, len(points), 8_192):
-                    p, pid = points[first : first + 8_192], ids[first : first + 8_192]
-                    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * x @ p.T, 0))
-                    d[own[:, None] == pid[None, :]] = np.inf
-                    d, i = np.hstack([best, d]), np.hstack([which, np.broadcast_to(pid, d.shape)])
-                    order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    best, which = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-                yield pd.DataFrame({"_nid": own, "neighbours": [[{"d": float(v), "id": int(n)} for v, n in zip(*r, strict=True) if np.isfinite(v)] for r in zip(best, which, strict=True)]})
+            own = batch["_id"].to_numpy()
+            x, member = np.unique(batch[xs].to_numpy(dtype=float), axis=0, return_inverse=True) if xs else (np.empty((1, 0)), np.zeros(len(own), dtype=int))
+            d, which = _search(x, points, ids, blocks, k + 1)
+            d, which = d[member.reshape(-1)], which[member.reshape(-1)]
+            self_at = which == own[:, None]
+            self_at[~self_at.any(1), -1] = True
+            d, which = d[~self_at].reshape(-1, k), which[~self_at].reshape(-1, k)
+            yield pd.DataFrame({"_nid": own, "neighbours": [[{"d": v, "id": n} for v, n in zip(*r, strict=True) if math.isfinite(v)] for r in zip(d.tolist(), which.tolist(), strict=True)]})
 
     return frame.mapInPandas(near, fields)
 
@@ -195,9 +256,9 @@ def dbscan(df: DataFrame, key: list[str], columns: list[str] | None = None, eps:
     frame, points = _numbered(rows, key, xs)
     near = _nearest(frame, xs, points, np.arange(len(points)), max(1, min_samples - 1)).persist()
     if eps is None:
-        eps = near.agg(F.percentile(F.get(F.col("neighbours"), F.lit(min_samples - 2))["d"], F.lit(0.9)).alias("e")).first().e or 0.0
+        eps = (exact_quantiles(near, [F.get(F.col("neighbours"), F.lit(min_samples - 2))["d"]], (0.9,))[0] or [0.0])[0]
     core = near.where(F.size(F.filter("neighbours", lambda n: n["d"] <= eps)) + 1 >= min_samples).select(F.col("_nid").alias("core_id"))
-    ids = np.sort(np.array([r.core_id for r in core.collect()], dtype=np.int64))  # of the size of points at most
+    ids = np.sort(core.toPandas()["core_id"].to_numpy(dtype=np.int64))  # of the size of points at most
     to_core = _nearest(frame, xs, points[ids], ids, 1).select("_nid", F.get("neighbours", F.lit(0))["d"].alias("d"))
     out = frame.select(F.col("_id").alias("_nid"), *key).join(to_core, "_nid", "left").join(core, F.col("_nid") == F.col("core_id"), "left")
     clustered = F.col("core_id").isNotNull() | F.coalesce(F.col("d") <= eps, F.lit(False))
