@@ -54,6 +54,25 @@ def systematic_sample(df: DataFrame, n: int, key: list[str]) -> DataFrame:
     return placed.where((F.floor(j * total / n) == F.col("_i")) & (j < n)).drop("_i")
 
 
+#: Strata and bytes of their names that are broadcast at most.
+MOST_STRATA, STRATA_BYTES = 10_000, 64 << 20
+
+
+def _of_strata(rows: DataFrame, stratum: str, strata: DataFrame, total: int) -> DataFrame:
+    """rows joined with strata, which has a row per stratum: its name _s and the number of its rows _c.
+
+    Few strata are broadcast. Of many, those above a MOST_STRATA-th of the rows are broadcast and the others shuffled, so no
+    task gathers a large stratum.
+    """
+    same = col(stratum) == F.col("_s")
+    one = strata.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col("_s").cast("string"))), F.lit(0)).alias("b")).first()
+    if one.n <= MOST_STRATA and one.b <= STRATA_BYTES:
+        return rows.join(F.broadcast(strata), same)
+    large = strata.where(F.col("_c") > total // MOST_STRATA)
+    others = rows.join(F.broadcast(large.select("_s")), same, "left_anti").join(strata.where(F.col("_c") <= total // MOST_STRATA), same)
+    return rows.join(F.broadcast(large), same).unionByName(others)
+
+
 def stratified_sample(df: DataFrame, n: int, stratum: str, key: list[str], seed: int = 42) -> DataFrame:
     """max(1, floor(n * share)) rows of every non-null stratum, first by the key's hash.
 
@@ -62,16 +81,19 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, key: list[str], seed:
     """
     rows = df.where(col(stratum).isNotNull())
     sizes = rows.groupBy(col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    total = F.sum("_c").over(Window.partitionBy(F.lit(0)))
-    quota = sizes.select("_s", "_c", F.greatest(F.lit(1), F.floor(n * F.col("_c") / total)).alias("_q"))
-    joined = rows.join(quota, col(stratum) == F.col("_s"))  # Spark broadcasts it if it is small
+    total = sizes.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    quota = sizes.select("_s", "_c", F.greatest(F.lit(1), F.floor(n * F.col("_c") / F.lit(total))).alias("_q"))
     draw = F.pmod(_draw(key, seed), F.lit(1 << 40))
-    thinned = joined.withColumn("_h", draw).where(F.col("_h") / float(1 << 40) <= (4.0 * F.col("_q") + 300) / F.col("_c"))
+    near = _of_strata(rows, stratum, quota, total).withColumn("_h", draw).where(F.col("_h") / float(1 << 40) <= (4.0 * F.col("_q") + 300) / F.col("_c"))
     # Keys that repeat share their hash: a stratum of few keys may fall short, and is then ranked whole.
-    left = thinned.groupBy(F.col("_s").alias("_left")).agg(F.count(F.lit(1)).alias("_n"))
-    short = quota.join(left, F.col("_s") == F.col("_left"), "left").where(F.coalesce("_n", F.lit(0)) < F.col("_q")).select(F.col("_s").alias("_short"))
-    whole = joined.withColumn("_h", draw).join(short, F.col("_s") == F.col("_short"), "left_semi")
-    near = thinned.join(short, F.col("_s") == F.col("_short"), "left_anti").unionByName(whole)
+    left = near.groupBy(F.col("_s").alias("_left")).agg(F.count(F.lit(1)).alias("_n"))
+    short = quota.join(left, F.col("_s") == F.col("_left"), "left").where(F.coalesce("_n", F.lit(0)) < F.col("_q")).select("_s", "_c", "_q")
+    if not short.isEmpty():
+        near = near.join(short.select(F.col("_s").alias("_short")), F.col("_s") == F.col("_short"), "left_anti")
+        whole = _of_strata(rows, stratum, short, total).withColumn("_h", draw).withColumn("_p", F.spark_partition_id())
+        # Each partition ranks its own rows first, so that quotas meet in a task and not a stratum.
+        first = whole.withColumn("_k", F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h", *key)))
+        near = near.unionByName(first.where("_k <= _q").drop("_p", "_k"))
     ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy("_h", *key)))
     return ranked.where("_k <= _q").drop("_s", "_c", "_q", "_h", "_k")
 

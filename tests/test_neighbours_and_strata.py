@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plumbline.operators import anomaly
+from plumbline.operators import anomaly, features
 
 
 @pytest.mark.parametrize("sides, n, k", [(2, 3000, 4), (1, 2000, 30), (5, 1500, 7), (2, 3, 5)])
@@ -38,3 +38,31 @@ def test_lookup_of_equal_rows(spark):
     found = {r.id: [(n.d, n.id) for n in r.neighbours] for r in own}
     assert found[0] == [(0, 1), (0, 2)] and found[1] == [(0, 0), (0, 2)] and found[5] == [(0, 0), (0, 1)]
     assert found[6] == [(1, 0), (1, 1)] and found[7] == [(5, 6), (6, 0)]
+
+
+@pytest.fixture
+def strata(spark):
+    """Two large strata, one of which has a single key, a middle one and many small ones."""
+    parts = ["SELECT id, 'large' AS g FROM range(30000)", "SELECT 7L, 'one key' FROM range(20000)", "SELECT id, 'middle' FROM range(900)", "SELECT id, concat('s', id) FROM range(50)"]
+    return spark.sql(" UNION ALL ".join(parts))
+
+
+@pytest.mark.parametrize("most", [features.MOST_STRATA, 3])
+def test_strata_have_their_quotas(strata, monkeypatch, most):
+    monkeypatch.setattr(features, "MOST_STRATA", most)
+    own = {r.g: r["count"] for r in features.stratified_sample(strata, 500, "g", ["id"]).groupBy("g").count().collect()}
+    n = 30000 + 20000 + 900 + 50
+    assert own == {"large": 500 * 30000 // n, "one key": 500 * 20000 // n, "middle": 500 * 900 // n} | {f"s{i}": 1 for i in range(50)}
+
+
+def test_rows_are_not_shuffled_by_stratum(spark, strata):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (strata, strata.where("g <> 'one key'")):
+            plan = features.stratified_sample(df, 500, "g", ["id"])._jdf.queryExecution().executedPlan().toString()
+            own = plan.split("== Initial Plan ==")[0]
+            assert "BroadcastHashJoin" in own
+            if df is not strata:
+                assert "SortMergeJoin" not in own and "ShuffledHashJoin" not in own
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
