@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import col, normalize, number, numeric_columns
 from ..functions.special import normal_ppf
 from .correlation import average_ranks, pearson
-from .quantiles import quantile_row
+from .quantiles import exact_quantiles, quantile_row
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -35,8 +35,8 @@ def histograms(df: DataFrame, columns: list[str] | None = None, bins: int | None
     out = {}
     for c in columns or numeric_columns(df):
         if bins is None:
-            r = normalize(df).agg(F.count(number(c)).alias("n"), F.percentile(number(c), F.array(F.lit(0.0), F.lit(0.25), F.lit(0.75), F.lit(1.0))).alias("q")).first()
-            out[c] = histogram(df, c, auto_bins(r.n, r.q[0], r.q[3], r.q[1], r.q[2]) if r.n else 1)
+            n, q = normalize(df).agg(F.count(number(c))).first()[0], exact_quantiles(normalize(df), [number(c)], (0.0, 0.25, 0.75, 1.0))[0]
+            out[c] = histogram(df, c, auto_bins(n, q[0], q[3], q[1], q[2]) if n else 1)
         else:
             out[c] = histogram(df, c, bins)
     return out
@@ -146,8 +146,8 @@ def save_figure(svg: str, path: str) -> str:
 def qq(df: DataFrame, column: str, points: int = 200) -> list[tuple[float, float]]:
     """(normal quantile, value) at evenly spread places, by exact percentiles."""
     p = [(i + 0.5) / points for i in range(points)]
-    r = normalize(df).agg(F.percentile(number(column), F.array(*[F.lit(x) for x in p])).alias("q")).first()
-    return [] if r.q is None else [(normal_ppf(x), v) for x, v in zip(p, r.q, strict=True)]
+    q = exact_quantiles(normalize(df), [number(column)], tuple(p))[0]
+    return [] if q is None else [(normal_ppf(x), v) for x, v in zip(p, q, strict=True)]
 
 
 def correlation_heatmap(df: DataFrame, columns: list[str] | None = None, mask_upper: bool = False, mask_diagonal: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import categorical_columns, col, long_form, normalize, number, numeric_columns
 from .correlation import pearson, ranged
+from .quantiles import exact_quantiles, quantile_row
 
 # Sampling ----------------------------------------------------------------------------------------
 
@@ -285,17 +286,16 @@ def suggest_bins(n: int, low: float, high: float, q1: float, q3: float, std: flo
 def recommend_binning(df: DataFrame, columns: list[str] | None = None, most: int = 10, least_unique: int = 20) -> list[Binning]:
     df = normalize(df)
     columns = columns or numeric_columns(df)
-    fields = {"n": lambda c: F.count(number(c)), "u": lambda c: F.approx_count_distinct(number(c)), "q": lambda c: F.percentile(number(c), F.array(F.lit(0.0), F.lit(0.25), F.lit(0.75), F.lit(1.0))), "std": lambda c: F.stddev_samp(number(c)), "skew": lambda c: F.skewness(number(c))}
+    fields = {"n": lambda c: F.count(number(c)), "u": lambda c: F.approx_count_distinct(number(c)), "std": lambda c: F.stddev_samp(number(c)), "skew": lambda c: F.skewness(number(c))}
     out = []
-    for r in long_form(df, columns, "c", fields).collect():
-        if r.u < least_unique:
-            continue
-        n_bins = suggest_bins(r.n, r.q[0], r.q[3], r.q[1], r.q[2], r.std or 0.0)
+    found = [r for r in long_form(df, columns, "c", fields).collect() if r.u >= least_unique]
+    for r, q in zip(found, exact_quantiles(df, [number(r.c) for r in found], (0.0, 0.25, 0.75, 1.0)) if found else [], strict=True):
+        n_bins = suggest_bins(r.n, q[0], q[3], q[1], q[2], r.std or 0.0)
         strategy = "uniform" if abs(r["skew"] or 0.0) < 0.5 else "quantile"
         if strategy == "uniform":
-            edges = [r.q[0] + (r.q[3] - r.q[0]) * i / n_bins for i in range(n_bins + 1)]
+            edges = [q[0] + (q[3] - q[0]) * i / n_bins for i in range(n_bins + 1)]
         else:
-            edges = list(df.agg(F.percentile(number(r.c), F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])).alias("e")).first().e)
+            edges = exact_quantiles(df, [number(r.c)], tuple(i / n_bins for i in range(n_bins + 1)))[0]
         edges = sorted(set(edges))  # ties leave fewer, distinct edges
         out.append(Binning(r.c, strategy, len(edges) - 1, edges, [f"bin_{i}" for i in range(len(edges) - 1)]))
     return out[:most]
@@ -348,7 +348,7 @@ def scaled(df: DataFrame, column: str, how: str) -> DataFrame:
     if how in ("log", "sqrt", "none"):
         return df.withColumn(f"{column}_scaled", {"log": F.ln(F.when(v > 0, v)), "sqrt": F.sqrt(F.when(v >= 0, v)), "none": v}[how])
     if how == "robust":
-        stats = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")).select(F.col("_q")[1].alias("_a"), (F.col("_q")[2] - F.col("_q")[0]).alias("_b"))
+        stats = quantile_row(df, [column], (0.25, 0.5, 0.75)).select(F.col("q0")[1].alias("_a"), (F.col("q0")[2] - F.col("q0")[0]).alias("_b"))
     elif how == "minmax":
         stats = df.agg(F.min(v).alias("_a"), (F.max(v) - F.min(v)).alias("_b"))
     elif how == "standard":

@@ -101,12 +101,12 @@ def select_ranks(df: DataFrame, values: list[Column], ranks: list) -> tuple[list
         bins = min(INTERVAL_BINS, max(16, MOST_BINS // len(open_)))
         cells = []
         for i in sorted({x.c for x in open_}):
-            value, k, b = values[i] + F.lit(0.0), F.lit(None).cast("int"), F.lit(None).cast("int")
-            for at, x in reversed([(at, x) for at, x in enumerate(open_) if x.c == i]):
-                inside = (value >= x.low) & (value <= x.high)
-                k = F.when(inside, F.lit(at)).otherwise(k)
-                spread = first and math.log1p(abs(x.low)) * math.copysign(1, x.low) < math.log1p(abs(x.high)) * math.copysign(1, x.high)
-                b = F.when(inside, F.lit(0) if last else _bin(value, x, bins, spread)).otherwise(b)
+            value, k, b = values[i] + F.lit(0.0), F, F
+            for at, x in enumerate(open_):
+                if x.c == i:
+                    inside = (value >= x.low) & (value <= x.high)
+                    spread = first and math.copysign(math.log1p(abs(x.low)), x.low) < math.copysign(math.log1p(abs(x.high)), x.high)
+                    k, b = k.when(inside, F.lit(at)), b.when(inside, F.lit(0) if last else _bin(value, x, bins, spread))
             cells.append(F.struct(k.alias("k"), b.alias("b"), value.alias("v")))
         near = df.select(F.inline(F.array(*cells))).where("k is not null")
         if last:

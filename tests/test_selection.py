@@ -58,3 +58,15 @@ def test_no_buffer_of_distinct_values(spark, odd):
 def test_modes_take_the_least_of_the_most_frequent(spark):
     df = spark.createDataFrame([(2.0, 1), (1.0, 1), (2.0, 5), (1.0, None), (None, 5), (float("nan"), 3)], "a double, b int")
     assert dict(descriptive.modes(df, ["a", "b"]).collect()) == {"a": 1.0, "b": 1.0}
+
+
+def test_other_uses_of_quantiles(spark, odd):
+    df = spark.createDataFrame(odd[["normal"]])
+    x = odd["normal"].to_numpy()
+    own = charts.qq(df, "normal", 200)
+    np.testing.assert_allclose([v for _, v in own], [interpolated(x, (i + 0.5) / 200) for i in range(200)], rtol=1e-12)
+    assert "percentile(" not in plan(features.scaled(df, "normal", "robust"))
+    q1, q3 = (interpolated(x, p) for p in (0.25, 0.75))
+    assert charts.histograms(df)["normal"].count() <= charts.auto_bins(len(x), x.min(), x.max(), q1, q3)
+    found = features.recommend_binning(df.selectExpr("exp(normal) AS v"))
+    assert found[0].strategy == "quantile" and found[0].edges[0] == pytest.approx(np.exp(x.min())) and found[0].edges[-1] == pytest.approx(np.exp(x.max()))
